@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard_join, packing, quality, sharding, warc
+from . import chat, decontamination, jaccard_join, language, packing, passages, quality, sharding, toxicity, warc
 from .storage import Scratch
 
 
@@ -32,6 +32,22 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(_table(spark, sf_dir, "documents"))
+
+
+def _fold(column: str, parts: int) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(_fold("doc_id", 3) != 1)
+    model = toxicity.fit(docs.join(labels, "doc_id").select("text", "label"))
+    score = toxicity.score(docs, model)
+    return score.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), gram=5, window=10)
     return found.select(
@@ -52,6 +68,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048, end_id=0)
 
 
+def _language_model(docs: DataFrame) -> language.Model:
+    return language.fit(docs.where(_fold("doc_id", 4) != 2).select("text", "lang"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, _language_model(docs))
+    return found.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(_table(spark, sf_dir, "pages"), Scratch(spark), revisit_bytes=1000)
     return warc.read_records(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,7 +93,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op4_winnowing, op5_quality_rules, op6_best_fit_packing, op8_warc, op9_ngram_jaccard_join, op10_sharding)
+    for f in (op1_chat_formatting, op2_substring_dedup, op3_toxicity, op4_winnowing, op5_quality_rules, op6_best_fit_packing, op7_language_id, op8_warc, op9_ngram_jaccard_join, op10_sharding)
 }
 
 _OP4_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
