@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,16 +31,27 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
-#: Chunks of white-space separated text that are kept encoded by a worker.
-CACHE = 300_000
+#: Chunks between spaces, and words among them, whose ids a worker keeps.
+CHUNKS, WORDS = 600_000, 1_000_000
+#: What lower-casing by the tokenizer and by Python might treat differently.
+_BEYOND_LATIN = re.compile("[\u0130]|[^\x00-\u024f]")
+#: Words that every step before the merges leaves as they are.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+_encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer that drops white space and never merges across it.
+    """Ids of texts for a tokenizer that lower-cases, drops white space and never merges across it.
 
     Distinct chunks between spaces are encoded once per worker and looked up
-    after that.  A text with one of U+001C to U+001F, which Python's split
-    takes for white space and the tokenizer does not, is encoded whole.
+    after that.  A text of Latin letters without combining marks is the same
+    as its lower case, and a full stop or comma behind a letter is encoded by
+    itself, so the variants share the ids of their word.  A text with one of
+    U+001C to U+001F, which Python's split takes for white space and the
+    tokenizer does not, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,30 +59,53 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.tails = dict(zip(".,", self._encoded([".", ","]), strict=True))
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder that this worker keeps for all its tasks."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        for at in range(0, len(texts), 64):
-            yield from self._some(texts[at : at + 64])
+        for at in range(0, len(texts), 256):
+            if len(self.words) > WORDS:
+                self.words = {}
+            if len(self.chunks) > CHUNKS:
+                self.chunks = {}
+            yield from self._some(texts[at : at + 256])
+
+    def _learn(self, chunks: set[str]) -> None:
+        split: list[tuple[str, str, bytes]] = []
+        known, tails = self.words, self.tails
+        for chunk in chunks:
+            word, tail = chunk, b""
+            if chunk[-1] in tails and "a" <= chunk[-2:-1] <= "ÿ" and chunk[-2].isalpha():
+                word, tail = chunk[:-1], tails[chunk[-1]]
+            split.append((chunk, word, tail))
+        fresh = {word for _, word, _ in split if word not in known}
+        one = self.model.tokenize
+        for word in filter(_PLAIN, fresh):
+            known[word] = array("I", [t.id for t in one(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        rest = list(fresh.difference(known))
+        known.update(zip(rest, self._encoded(rest), strict=True))
+        self.chunks.update((chunk, known[word] + tail) for chunk, word, tail in split)
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        chunks = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        new: set[str] = set()
-        for row in chunks:
-            new.update(set(row).difference(self.known))
-        if new:
-            fresh = list(new)
-            self.known.update(zip(fresh, self._encoded(fresh), strict=True))
-        for text, row, whole in zip(texts, chunks, odd, strict=True):
-            yield self._encoded([text])[0] if whole else b"".join(map(self.known.__getitem__, row))
+        odd = ["\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t for t in texts]
+        rows = [[] if o else t.split() if _BEYOND_LATIN.search(t) else t.lower().split() for t, o in zip(texts, odd, strict=True)]
+        self._learn(set(chain.from_iterable(rows)).difference(self.chunks))
+        for text, row, whole in zip(texts, rows, odd, strict=True):
+            yield self._encoded([text])[0] if whole else b"".join(map(self.chunks.__getitem__, row))
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = WordEncoder.of(tokenizer)
         last = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows, columns = [], ([], [], [], [])
