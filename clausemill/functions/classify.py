@@ -46,7 +46,7 @@ def clause_severity(text: Column) -> Column:
 
 
 def cross_references(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(P.CROSS_REFERENCE), F.lit(0)), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(P.CROSS_REFERENCE), F.lit(0)), lambda x: F.trim(x))))
 
 
 def deadline(text: Column) -> Column:
