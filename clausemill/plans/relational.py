@@ -513,3 +513,36 @@ def bootstrap_interval(t: Tables) -> DataFrame:
 def gold_join(t: Tables) -> DataFrame:
     best = t.scores.where("macro_f1 is not null").select("span_id", "macro_f1")
     return t.scores.select("span_id").join(best, "span_id", "left").select("span_id", F.col("macro_f1").isNotNull().alias("has_prediction"), F.round(F.coalesce("macro_f1", F.lit(0.0)), 6).alias("macro_f1"))
+
+
+# --- the whole pipeline with the deterministic provider, and the streaming guard: no SQL form, tests cover them
+@query()
+def policy_pipeline(t: Tables) -> DataFrame:
+    from ..providers import Rules
+    from .policy_pipeline import run
+
+    stages = run(t.spark, t.spans, Rules())
+    out = None
+    for name in ("candidates", "cleaned", "duplicates", "tagged", "examples", "enforcement"):
+        count = stages[name].agg(F.lit(name).alias("stage"), F.count("*").alias("n"))
+        out = count if out is None else out.unionByName(count)
+    return out
+
+
+@query()
+def stream_guard(t: Tables) -> DataFrame:
+    """Events as a stream, scored and counted by window, run to its end."""
+    import uuid
+
+    from ..lineage import ensure_checkpoints
+    from ..streaming import guard as live
+
+    ensure_checkpoints(t.spark)
+    folder = f"{t.spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    t["events"].select("event_id", "ts", F.concat_ws(" ", "event_type", "props").alias("text")).write.parquet(f"{folder}/in")
+    source = t.spark.readStream.schema("event_id long, ts timestamp, text string").parquet(f"{folder}/in")
+    stream = live.counts(live.scored(live.once(source, "event_id")), late=None)
+    rows = stream.select(F.col("window.start").alias("start"), "category", "n", "most")
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out")
