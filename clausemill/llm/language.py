@@ -79,18 +79,25 @@ def _grams(content: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterato
 
 
 def _scripts(content: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The highest script number within each word."""
+    """The highest script number within each word; words are in order of place."""
     return np.maximum.reduceat(np.append(SCRIPT[content], 0), np.stack([starts, ends], 1).ravel())[::2] if len(starts) else starts
 
 
 def fit(labelled: DataFrame, *, sample: int = 1500, sample_chars: int = 8000, penalty: float = 12.0, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model from text and language of a DataFrame."""
-    known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(totals)
+    # texts below a share of the hashes that holds a little more than the sample
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, 1.2 * sample / n)))) for lang, n in totals.items()], F.lit(0))
+    picked: dict[str, list[tuple[int, str]]] = {lang: [] for lang in langs}
+    for row in known.withColumn("h", place).where(F.col("h") <= below).select("lang", "h", F.substring("text", 1, sample_chars).alias("text")).toLocalIterator():
+        picked[row["lang"]].append((row["h"], row["text"]))
     count = np.zeros((BUCKETS, len(langs)))
     used = np.zeros((len(SCRIPTS) + 1, len(langs)))
     for n, lang in enumerate(langs):
-        rows = known.where(F.col("lang") == lang).orderBy("h", "text").limit(sample).select(F.substring("text", 1, sample_chars)).collect()
+        rows = [(text,) for _, text in sorted(picked[lang])[:sample]]
         for _, content, offsets in slices(pa.array([r[0] for r in rows], pa.string())):
             content = LOWER[content]
             starts, ends, _ = words(content, offsets, WORD)
@@ -108,6 +115,10 @@ def fit(labelled: DataFrame, *, sample: int = 1500, sample_chars: int = 8000, pe
 def word_scores(model: Model, content: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(word, language) of the words of a slice; equal words are scored once."""
     _, first, back = np.unique(span_hashes(content, starts, ends), return_index=True, return_inverse=True)
+    order = np.argsort(first)  # in order of place, as _scripts needs them
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    first, back = first[order], rank[back]
     own_starts, own_ends = starts[first], ends[first]
     total = np.zeros((len(first), len(model.langs)), np.float32)
     for bucket, number in _grams(content, own_starts, own_ends):
@@ -153,10 +164,11 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return labels[at]
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", most_cells: int = 12_000_000) -> DataFrame:
-    """doc_id, lang_pred, score (share of the words), spans (language, words) of every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, most_cells: int = 12_000_000) -> DataFrame:
+    """doc_id, lang_pred, score (share of the words), spans (language, words) of every row; with `keep_rows` also the whole row as `row`."""
     langs = np.array([*model.langs, "und"], object)
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep_rows else []))
+    carried = [f for f in given.schema.fields if f.name != "text"]
 
     def label(texts: list[str | None], scores: list[np.ndarray], counts: np.ndarray, plain: np.ndarray) -> list[pa.Array]:
         lettered = plain.copy()
@@ -173,28 +185,43 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         spans = pa.StructArray.from_arrays([pa.array(langs[labels[begin]], pa.string()), pa.array(runs, pa.int64())], names=["lang", "words"])
         return [pa.array(langs[top], pa.string()), pa.array(share, pa.float64()), pa.ListArray.from_arrays(at, spans)]
 
+    def unknown(rows: int) -> list[pa.Array]:
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
+        return [pa.array(["und"] * rows, pa.string()), pa.array([0.0] * rows, pa.float64()), pa.array([[]] * rows, kind)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*(f.name for f in carried), "lang_pred", "score", "spans"]
         for batch in batches:
-            column, first = batch.column(1), 0
-            scores, counts, plain = [], [], []
+            column = batch.column("text")
+            if not model.langs:
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *unknown(len(column))], names=names)
+                continue
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # scores, words, ASCII letters of some rows
+            first = 0
 
             def done(first: int) -> pa.RecordBatch:
+                scores, counts, plain = zip(*held, strict=True)
                 n = np.concatenate(counts)
-                out = label(column.slice(first, len(n)).to_pylist(), scores, n, np.concatenate(plain))
-                return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), *out], names=["doc_id", "lang_pred", "score", "spans"])
+                out = label(column.slice(first, len(n)).to_pylist(), list(scores), n, np.concatenate(plain))
+                return pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(first, len(n)) for f in carried), *out], names=names)
 
             for _, content, offsets in slices(column):
                 total = np.append(0, np.cumsum(ASCII_LETTER[content]))
-                plain.append(total[offsets[1:]] > total[offsets[:-1]])
                 content = LOWER[content]
                 starts, ends, rows = words(content, offsets, WORD)
-                counts.append(np.bincount(rows, minlength=len(offsets) - 1) if model.langs else np.zeros(len(offsets) - 1, np.int64))
-                scores.append(word_scores(model, content, starts, ends) if model.langs else np.zeros((0, 1), np.float32))
-                if sum(s.size for s in scores) > most_cells:
+                held.append((word_scores(model, content, starts, ends), np.bincount(rows, minlength=len(offsets) - 1), total[offsets[1:]] > total[offsets[:-1]]))
+                if sum(s.size for s, *_ in held) > most_cells:
                     yield done(first)
-                    first += sum(map(len, counts))
-                    scores, counts, plain = [], [], []
-            if counts:
+                    first += sum(len(c) for _, c, _ in held)
+                    held = []
+            if held:
                 yield done(first)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double, spans array<struct<lang: string, words: long>>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried)
+    return given.mapInArrow(run, f"{kinds}, lang_pred string, score double, spans array<struct<lang: string, words: long>>")
+
+
+def accepted(docs: DataFrame, model: Model, *, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents of which a language has at least `least_score` of the words, with that as their language."""
+    found = identify(docs, model, id_col=id_col, text_col=text_col, keep_rows=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return found.select(*[F.col("lang_pred").alias(c) if c == lang_col else F.col("row")[c].alias(c) for c in docs.columns])
