@@ -38,6 +38,7 @@ from .arrays import LOWER, NOT_SPACE, U64, mix, slices, span_hashes, words
 from .components import connected
 from .decontamination import grams
 from .jaccard_join import _pack, _unpack
+from .prefilter import key_bits, maybe_in
 from .storage import Scratch
 
 GRAM = 5
@@ -233,12 +234,14 @@ def repeated(docs: DataFrame, scratch: Scratch, *, size: int = 24, radius: int =
     pairs = scratch.keep(pairs.distinct(), "distinct")
     needed = scratch.keep(pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct(), "needed")
 
+    wanted = spark.sparkContext.broadcast(key_bits(needed))
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keep = []
-            for i, x in enumerate(batch.column(0).to_pylist()):
-                if x not in seen:
+            keep, fps = [], batch.column(0).to_numpy()
+            for i in np.flatnonzero(maybe_in(wanted.value, fps)).tolist():
+                if (x := int(fps[i])) not in seen:
                     seen.add(x)
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
@@ -289,7 +292,10 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     cuts = scratch.keep(cuts, "cuts")
     text = F.coalesce(F.col(text_col), F.lit(""))
     packed = docs.select(F.xxhash64(text).alias("fp"), F.struct(*docs.columns).alias("row"), text.alias("text"))
-    joined = packed.join(cuts, "fp", "left")
+    copies = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
+    copies = scratch.keep(copies.where((F.col("n") > 1) & (F.col("n_words") >= settings.get("least_words", 40))).select("fp", "first_id"), "copies")
+    packed = packed.join(copies, "fp", "left").where(F.col("first_id").isNull() | F.col(f"row.{id_col}").eqNullSafe(F.col("first_id"))).drop("first_id")
+    joined = packed.join(cuts, "fp", "left").select("fp", "row", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
