@@ -43,7 +43,7 @@ def _fold(column: str, parts: int) -> Column:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(_fold("doc_id", 3) != 1)
-    model = toxicity.fit(docs.join(labels, "doc_id").select("text", "label"))
+    model = toxicity.fit(docs.withColumnRenamed("doc_id", "id"), labels.withColumnRenamed("doc_id", "id"))
     score = toxicity.score(docs, model)
     return score.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -1,16 +1,18 @@
 """Toxicity by compression distance between two Zstandard dictionaries.
 
-One dictionary is trained on words of ordinary documents, the other on the
-words of toxic documents that ordinary ones do not use.  Both are raw content,
+One dictionary is trained on words of ordinary documents, the other on those
+parts of the words of toxic documents that ordinary ones do not use.  Both are raw content,
 and the toxic one is laid in front of the ordinary one, so windows without
 toxic content compress to exactly the same length under both.  A document is
 cut into windows of `window_words` words; by how many bytes each is shorter
 under the toxic side gives the document's features, whose weights and
-threshold are calibrated on labelled documents that trained neither dictionary.
+threshold are calibrated on labelled documents that trained neither dictionary; both are trained anew on all of the
+sample after that.
 
-The model is fitted on at most `sample` documents of either label, those of
-least text hash, and at most `sample_chars` characters of each; every document
-is then scored on its whole text.
+The model is fitted on at most `sample` labels of either kind, those of least
+hash of their ids, and at most `sample_chars` characters of each text; ids pick
+the sample and are no input of a score.  Every document is then scored on its
+whole text.
 
 Nulls and repeats: a null or empty text has no windows and gets the score that
 calibration gives to none; null labels train nothing; a document labelled twice
@@ -21,7 +23,7 @@ of toxic labels; empty tables give no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 LETTERS = regex.compile(r"\p{L}+")
 LEVEL = 12
+GRAM = 5
 
 
 @dataclass
@@ -86,13 +89,35 @@ def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.0
     return w
 
 
-def _bags(texts: list[str], keep, rng: np.random.Generator) -> list[bytes]:
-    """Distinct words of each text in random order, so that no passage counts as a whole."""
+def _grams(word: str) -> list[str]:
+    """The 5-character parts of a word, with the spaces around it."""
+    word = f" {word} "
+    return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
+
+
+def _distinct_words(text: str) -> list[str]:
+    return list(dict.fromkeys(LETTERS.findall(text.lower())))
+
+
+def _runs(word: str, keep: set[str]) -> list[str]:
+    """The stretches of a word that overlapping 5-character parts to be kept cover."""
+    spans: list[list[int]] = []
+    for i, gram in enumerate(_grams(word)):
+        if gram in keep:
+            if spans and i < spans[-1][1]:
+                spans[-1][1] = i + GRAM
+            else:
+                spans.append([i, i + GRAM])
+    return [f" {word} "[a:b] for a, b in spans]
+
+
+def _bags(parts: Iterable[list[str]], rng: np.random.Generator, by: str) -> list[bytes]:
+    """The parts of each text in random order, eight to a sample, so that no passage counts as a whole."""
     out = []
-    for text in texts:
-        words = [w for w in dict.fromkeys(LETTERS.findall(text.lower())) if keep(w)]
-        rng.shuffle(words)
-        out += [f" {' '.join(words[i : i + 8])} ".encode() for i in range(0, len(words), 8)]
+    for some in parts:
+        some = list(some)
+        rng.shuffle(some)
+        out += [f"{by}{by.join(some[i : i + 8])}{by}".encode() for i in range(0, len(some), 8)]
     return out
 
 
@@ -106,32 +131,51 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return b"".join(samples)[-size:]
 
 
-def fit(labelled: DataFrame, *, sample: int = 3000, sample_chars: int = 20_000, window_words: int = 5, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 3 << 10) -> Model:
-    """A model from text and label (1: toxic) of a DataFrame."""
-    known = labelled.select(F.substring("text", 1, sample_chars).alias("text"), F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h")).where("text is not null and label in (0, 1)")
+def _dictionaries(texts: dict[int, list[str]], ordinary_bytes: int, toxic_bytes: int) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) content.
+
+    The toxic one is trained on the parts of words that several toxic texts
+    have and no ordinary one, so it hardly ever helps ordinary windows.
+    """
+    rng = np.random.default_rng(17)
+    ordinary_words = [_distinct_words(t) for t in texts[0]]
+    toxic_words = [_distinct_words(t) for t in texts[1]]
+    usual = {g for words in ordinary_words for w in words for g in _grams(w)}
+    often = Counter(g for words in toxic_words for g in {g for w in words for g in _grams(w)} if g not in usual)
+    enough = max(2, 0.004 * len(texts[1]))
+    keep = {g for g, n in often.items() if n >= enough}
+    toxic = _bags(([r for w in words for r in _runs(w, keep)] for words in toxic_words), rng, "")
+    return _dictionary(_bags(ordinary_words, rng, " "), ordinary_bytes), _dictionary(toxic, toxic_bytes)
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int, sample_chars: int) -> tuple[dict[int, list[tuple[str, bool]]], float]:
+    """({label: (text, whether it trains a dictionary)}, share of toxic labels); only ids are ordered, only sampled texts sent."""
+    known = labels.select("id", F.col("label").cast("int").alias("label"), F.xxhash64("id").alias("h")).where("id is not null and label in (0, 1)")
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    share = totals.get(1, 0) / max(1, sum(totals.values()))
-    picked = {}
-    for label in (0, 1):
-        rows = known.where(F.col("label") == label).orderBy("h", "text").limit(sample).select("text", "h").collect()
-        picked[label] = [(r["text"], r["h"] % 5 < 3) for r in rows]
+    picked: dict[int, list[tuple[str, bool]]] = {0: [], 1: []}
+    ids = known.where("label = 0").orderBy("h", "id").limit(sample).unionByName(known.where("label = 1").orderBy("h", "id").limit(sample))
+    met = docs.select("id", F.substring("text", 1, sample_chars).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
+    for row in met.orderBy("label", "h", "id", "text").limit(4 * sample).collect():
+        picked[row["label"]].append((row["text"], row["h"] % 5 < 3))
+    return picked, totals.get(1, 0) / max(1, sum(totals.values()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, sample_chars: int = 20_000, window_words: int = 5, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 2 << 10) -> Model:
+    """A model from documents (id, text) and labels (id, label; 1: toxic)."""
+    picked, share = _sampled(docs, labels, sample, sample_chars)
     if min(map(len, picked.values())) < 2:
         return Model(b"", b"", np.zeros(0), window_words, share)
-    rng = np.random.default_rng(17)
     train = {label: [t for t, first in rows if first] or [rows[0][0]] for label, rows in picked.items()}
     rest = {label: [t for t, first in rows if not first] or [rows[-1][0]] for label, rows in picked.items()}
-    ordinary_words = {w for t in train[0] for w in LETTERS.findall(t.lower())}
-    often = Counter(w for t in train[1] for w in set(LETTERS.findall(t.lower())) if w not in ordinary_words)
-    enough = max(2, 0.004 * len(train[1]))
-    ordinary = _dictionary(_bags(train[0], lambda w: True, rng), ordinary_bytes)
-    toxic = _dictionary(_bags(train[1], lambda w: often[w] >= enough, rng), toxic_bytes)
-    model = Model(ordinary, toxic, np.zeros(0), window_words, share)
+    model = Model(*_dictionaries(train, ordinary_bytes, toxic_bytes), np.zeros(0), window_words, share)
     compressors = model.compressors()
     x = np.array([features(gains(t, window_words, compressors)) for label in (0, 1) for t in rest[label]])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
-    model.weights = _fitted(x, y, weight)
-    return model
+    weights = _fitted(x, y, weight)
+    # calibrated on what trained neither dictionary; both are then trained on all of the sample
+    everything = {label: [t for t, _ in rows] for label, rows in picked.items()}
+    return Model(*_dictionaries(everything, ordinary_bytes, toxic_bytes), weights, window_words, share)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
