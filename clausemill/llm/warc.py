@@ -238,7 +238,7 @@ def export(bundles: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 name, content = f"{base}/{number:016x}.warc.zst", data.as_py()
-                with store.open_output_stream(name) as out:
+                with store.open_output_stream(name, compression=None) as out:
                     out.write(content)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], names=["file", "bytes"])
 
