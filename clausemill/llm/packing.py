@@ -179,6 +179,22 @@ def _exchange(full: list[int], empty: list[int], room: int, size: np.ndarray) ->
     return found
 
 
+def _drained(low: int, under: list[int], bins: list[list[int]], fill: list[int], lengths: np.ndarray, limit: int, near: int) -> bool:
+    """Moves what helps from a bin to fuller ones; whether anything moved."""
+    moved = False
+    fuller = [n for n in under if n != low and fill[n] >= fill[low]]
+    for high in fuller[: -near - 1 : -1] + fuller[:near]:
+        while bins[low] and fill[high] >= fill[low] and (found := _exchange(bins[high], bins[low], limit - fill[high], lengths)):
+            out, into = found
+            for source, target, items in ((high, low, out), (low, high, into)):
+                for item in items:
+                    bins[source].remove(item)
+                    bins[target].append(item)
+            gain = int(lengths[into].sum()) - (int(lengths[out].sum()) if out else 0)
+            fill[high], fill[low], moved = fill[high] + gain, fill[low] - gain, True
+    return moved
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds: int = 40, near: int = 60) -> list[list[int]]:
     """Raises the sum of squared fills by moves and exchanges until no bin fewer is possible or nothing helps."""
     least = -(-int(lengths.sum()) // limit)
@@ -190,17 +206,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds:
         under = sorted((n for n in live if fill[n] < limit), key=lambda n: fill[n])
         if not under:
             break
-        low, moved = under[0], False
-        for high in sorted(under[1:], key=lambda n: fill[n])[: -near - 1 : -1] + under[1 : near + 1]:
-            while bins[low] and (found := _exchange(bins[high], bins[low], limit - fill[high], lengths)):
-                out, into = found
-                for source, target, items in ((high, low, out), (low, high, into)):
-                    for item in items:
-                        bins[source].remove(item)
-                        bins[target].append(item)
-                gain = int(lengths[into].sum()) - (int(lengths[out].sum()) if out else 0)
-                fill[high], fill[low], moved = fill[high] + gain, fill[low] - gain, True
-        if not moved:
+        if not any(_drained(low, under, bins, fill, lengths, limit, near) for low in under[:near]):
             break
     return [b for b in bins if b]
 
