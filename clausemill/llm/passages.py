@@ -264,8 +264,13 @@ def find(docs: DataFrame, **settings) -> DataFrame:
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     classes = scratch.keep(classes, "classes")
     groups = scratch.keep(connected(found.select("x", "y"), scratch, "groups"), "groups")
-    lost = found.select(F.col("x").alias("fp"), F.col("x_start").alias("start_word"), F.col("x_words").alias("words"), F.col("y").alias("other"), F.lit(True).alias("removed"))
-    kept = found.select(F.col("y").alias("fp"), F.col("y_start").alias("start_word"), F.col("y_words").alias("words"), F.col("y").alias("other"), F.lit(False).alias("removed")).distinct()
+    # the text that a passage is compared with may lose it in its turn to a lesser one
+    lost = found.select(F.col("x").alias("fp"), F.col("x_start").alias("start_word"), F.col("x_words").alias("words"), "y", "y_start", "y_words")
+    again = found.select(F.col("x").alias("z"), F.col("x_start").alias("z_start"), F.col("x_words").alias("z_words"), F.col("y").alias("next"))
+    shared = F.least(F.col("y_start") + F.col("y_words"), F.col("z_start") + F.col("z_words")) - F.greatest("y_start", "z_start")
+    met = scratch.keep(lost.join(again, (F.col("y") == F.col("z")) & (2 * shared > F.col("y_words")), "left"), "met")
+    lost = met.groupBy("fp", "start_word", "words").agg(F.min(F.coalesce("next", "y")).alias("other")).withColumn("removed", F.lit(True))
+    kept = met.where("next is null").select(F.col("y").alias("fp"), F.col("y_start").alias("start_word"), F.col("y_words").alias("words"), F.col("y").alias("other"), F.lit(False).alias("removed")).distinct()
     copies = classes.where((F.col("n") > 1) & (F.col("n_words") >= least)).select("fp", F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("words"), F.col("fp").alias("other"), F.lit(False).alias("removed"))
     spans = lost.unionByName(kept).unionByName(copies)
     spans = spans.join(classes.select(F.col("fp").alias("other"), F.col("first_id").alias("other_id")), "other")
