@@ -515,6 +515,47 @@ def gold_join(t: Tables) -> DataFrame:
     return t.scores.select("span_id").join(best, "span_id", "left").select("span_id", F.col("macro_f1").isNotNull().alias("has_prediction"), F.round(F.coalesce("macro_f1", F.lit(0.0)), 6).alias("macro_f1"))
 
 
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^{_WSP}+|{_WSP}+$', '', 'g'), '([.!?]){_WSP}+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^{_WSP}+|{_WSP}+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(sql=f"""WITH p AS (SELECT source AS doc_id, CAST(doc_id AS INT) AS page, {_SENTENCES} AS s FROM documents),
+  g AS (SELECT doc_id, page, i, s[(i - 1) * 4 + 1:i * 4] AS part FROM (SELECT *, unnest(range(1, CAST(ceil(len(s) / 4.0) AS BIGINT) + 1)) AS i FROM p))
+  SELECT doc_id || '/body/sent_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS STRING), 4, '0') AS span_id, page, sha1(array_to_string(part, ' ')) AS h, CAST(len(part) AS INT) AS group_size FROM g""")
+def page_spans(t: Tables) -> DataFrame:
+    pages = t["documents"].select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), F.array(F.lit("Body")).alias("section_path"), "text")
+    return ingest.spans_from_pages(pages).select("span_id", "page", F.sha1(F.col("text").cast("binary")).alias("h"), "group_size")
+
+
+@query("rules", sql="SELECT input, seq, rule_id FROM (SELECT 0 AS input, seq, rule_id FROM rules WHERE seq % 2 = 0 UNION ALL SELECT 1, seq, rule_id FROM rules WHERE seq % 3 = 0)")
+def union_inputs(t: Tables) -> DataFrame:
+    return t.rules.where("seq % 2 = 0").select(F.lit(0).alias("input"), "seq", "rule_id").unionByName(t.rules.where("seq % 3 = 0").select(F.lit(1).alias("input"), "seq", "rule_id"))
+
+
+@query("rules", sql="SELECT seq, array_to_string(list_sort(list_distinct(list_concat(actor, context))), '|') AS either, array_to_string(list_sort(list_distinct(list_intersect(requirements, exceptions))), '|') AS both, list_contains(signals, 'io_check') AS has FROM rules")
+def set_operations(t: Tables) -> DataFrame:
+    f = rules.fields()
+    return t.rules.select("seq", _j(F.array_sort(F.array_union(f["actor"], f["context"]))).alias("either"), _j(F.array_sort(F.array_intersect(f["requirements"], f["exceptions"]))).alias("both"), F.array_contains("testability.evidence_signals", "io_check").alias("has"))
+
+
+@query("clauses", sql="SELECT DISTINCT sha1('extract' || chr(31) || text) AS request_id, 'extract' AS op, text AS prompt FROM clauses WHERE text <> ''")
+def model_requests(t: Tables) -> DataFrame:
+    from ..providers import request
+
+    return t.clauses.where("text <> ''").select(*request("extract", F.col("text"))).select("request_id", "op", "prompt").distinct()
+
+
+@query("rules", sql="SELECT 'test_' || regexp_replace(lower(rule_id), '[^a-z0-9_]+', '_', 'g') || '.py' AS path, CASE WHEN list_contains(data_domain, 'code') THEN 'code' ELSE 'support' END AS role FROM rules")
+def pytest_files(t: Tables) -> DataFrame:
+    made = guard.pytest_files(t.rules.withColumn("examples", F.struct(F.col("requirements").alias("benign"))))
+    return made.select("path", F.regexp_extract("body", 'ROLE = "(\\w+)"', 1).alias("role"))
+
+
+@query("clauses", sql=f"SELECT seq, value * CASE WHEN unit LIKE 'day%' THEN 1 WHEN unit LIKE 'week%' THEN 7 WHEN unit LIKE 'month%' THEN 30 ELSE 365 END AS days FROM (SELECT seq, TRY_CAST(regexp_extract(text, {_s(P.DEADLINE)}, 2) AS INT) AS value, lower(regexp_extract(text, {_s(P.DEADLINE)}, 3)) AS unit FROM clauses) WHERE value IS NOT NULL")
+def deadline_days(t: Tables) -> DataFrame:
+    d = C.deadline(F.col("text"))
+    return t.clauses.select("seq", C.days(d["value"], d["unit"]).alias("days")).where("days is not null")
+
+
 # --- the whole pipeline with the deterministic provider, and the streaming guard: no SQL form, tests cover them
 @query()
 def policy_pipeline(t: Tables) -> DataFrame:
