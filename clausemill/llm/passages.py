@@ -298,9 +298,9 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     text = F.coalesce(F.col(text_col), F.lit(""))
     packed = docs.select(F.xxhash64(text).alias("fp"), F.struct(*docs.columns).alias("row"), text.alias("text"))
     copies = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
-    copies = scratch.keep(copies.where((F.col("n") > 1) & (F.col("n_words") >= settings.get("least_words", 40))).select("fp", "first_id"), "copies")
-    packed = packed.join(copies, "fp", "left").where(F.col("first_id").isNull() | F.col(f"row.{id_col}").eqNullSafe(F.col("first_id"))).drop("first_id")
-    joined = packed.join(cuts, "fp", "left").select("fp", "row", "text", "cuts")
+    copies = copies.where((F.col("n") > 1) & (F.col("n_words") >= settings.get("least_words", 40))).select("fp", "first_id", F.lit(True).alias("copied"))
+    known = scratch.keep(copies.join(cuts, "fp", "full"), "known")  # one join of the texts
+    joined = packed.join(known, "fp", "left").where(F.col("copied").isNull() | F.col(f"row.{id_col}").eqNullSafe(F.col("first_id"))).select("fp", "row", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
