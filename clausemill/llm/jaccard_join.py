@@ -1,11 +1,13 @@
 """N-gram Jaccard join: T-occurrence search over shingle sets, spread over the cluster.
 
 A document whose set holds n shingles links only with sets that share at least
-T = ceil(percent * n / 100) of them.  As in DivideSkip, its T - 1 longest
-inverted lists are set aside as long ones, so every partner must occur in one
-of the remaining n - T + 1 short lists.  The short lists are merged by shuffled
-sorted runs; the partners found there are then probed for in the long lists by
-binary search in sorted sets, and those reaching the required overlap stay.
+T = ceil(percent * n / 100) of them.  As in DivideSkip, its T - c longest
+inverted lists are set aside as long ones, so every partner must occur in c
+of the remaining n - T + c short lists (c = `least_short`, or T where that is
+less; of two documents the lesser c holds).  The short lists are merged by
+shuffled sorted runs; the partners found there often enough are then probed for
+in the long lists by binary search in sorted sets, and those reaching the
+required overlap stay.
 
 Lists are ordered by length, as counted over the whole corpus, for shingles in
 at least `heavy` documents; the rest order by hash.  Any one order gives whole
@@ -28,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, row_sums, shingles, slices, span_hashes, words
 from .components import connected
+from .prefilter import key_bits, maybe_in
 from .storage import Scratch
 
 POSTING = "shingle long, fp long, n int, pos int, light int"
@@ -84,7 +87,7 @@ def _blocks(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.lexsort((columns[0], part))
     part, columns = part[order], [c[order] for c in columns]
     found, begin = np.unique(part, return_index=True)
-    ends = np.append(begin[1:], len(part))
+    ends = np.append(begin, len(part))[1:]
     data = [_pack([c[a:b] for c in columns]) for a, b in zip(begin, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(ends - begin, pa.int64()), pa.array(data, pa.binary())], names=["part", "n_rows", "data"])
 
@@ -158,7 +161,7 @@ def heavy_lists(docs: DataFrame, k: int, parts: int, heavy: int, most_heavy: int
     return found["bucket"].to_numpy().astype(np.uint32), found["df"].to_numpy().astype(np.uint32)
 
 
-def short_lists(docs: DataFrame, k: int, percent: int, parts: int, heavy: tuple[np.ndarray, np.ndarray], salt: int = 2048) -> DataFrame:
+def short_lists(docs: DataFrame, k: int, percent: int, least_short: int, parts: int, heavy: tuple[np.ndarray, np.ndarray], salt: int = 2048) -> DataFrame:
     """Postings of the short lists that hold two classes or more.
 
     A long list that is still among some documents' short ones is dealt over
@@ -194,7 +197,8 @@ def short_lists(docs: DataFrame, k: int, percent: int, parts: int, heavy: tuple[
                 begin = np.searchsorted(row, np.arange(len(offsets)))
                 pos = np.arange(len(row)) - begin[row]
                 n = size[row]
-                short = pos < n - (-(-percent * n // 100)) + 1
+                needed = -(-percent * n // 100)
+                short = pos < n - needed + np.minimum(least_short, needed)
                 light = np.bincount(row, weights=length == 0, minlength=len(offsets) - 1)[row]
                 value, row, pos, n, light, length = (c[short] for c in (value, row, pos, n, light, length))
                 with np.errstate(over="ignore"):
@@ -235,8 +239,9 @@ def short_lists(docs: DataFrame, k: int, percent: int, parts: int, heavy: tuple[
     return _text(docs).mapInArrow(post, _BLOCKS).repartition(parts, "part").mapInArrow(merge, POSTING)
 
 
-def class_texts(docs: DataFrame, k: int) -> DataFrame:
-    """fp, text of the first document of each class in each task."""
+def class_texts(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
+    """fp, text of the first document of each class in each task, but for most of those that the bitmap tells are not wanted."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -244,25 +249,28 @@ def class_texts(docs: DataFrame, k: int) -> DataFrame:
             for row0, content, offsets in slices(batch.column(0)):
                 value, row = row_sets(content, offsets, k)
                 fp = fingerprints(value, row, len(offsets) - 1)[1]
-                at = np.flatnonzero(_new(fp, seen))
+                at = np.flatnonzero(_new(fp, seen) & maybe_in(shared.value, fp.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), batch.column(0).take(pa.array(at + row0))], names=["fp", "text"])
 
     return _text(docs).mapInArrow(first, "fp long, text string")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch, name: str, most: int = 256) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str, most: int = 256) -> DataFrame:
     """Those (a, b) whose sets reach the similarity.
 
-    Each b is sent along with the text of its a, by runs of about `most`
-    partners of one a, and its members are searched for in a's sorted set.
+    Texts are read again and only those of classes in a pair are sent.  Each b
+    goes along with the text of its a, by runs of about `most` partners of one
+    a, and its members are searched for in a's sorted set.
     """
     pairs = scratch.keep(pairs, f"{name}-pairs")
     many = scratch.keep(pairs.groupBy("a").agg((F.count("*") / most).cast("int").alias("deal")), f"{name}-many")
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deal") + 1).cast("int").alias("run"))
     dealt = scratch.keep(dealt, f"{name}-dealt")
-    ours = dealt.select("a", "run").distinct().join(texts, F.col("a") == F.col("fp")).select("a", "run", F.lit(0).alias("other"), F.col("a").alias("b"), "text")
-    theirs = dealt.join(texts, F.col("b") == F.col("fp")).select("a", "run", F.lit(1).alias("other"), "b", "text")
-    met = ours.unionByName(theirs).repartition("a", "run").sortWithinPartitions("a", "run", "other", "b")
+    ours = dealt.select("a", "run").distinct().select("a", "run", F.lit(0).alias("other"), F.col("a").alias("fp"))
+    theirs = dealt.select("a", "run", F.lit(1).alias("other"), F.col("b").alias("fp"))
+    texts = class_texts(docs, k, key_bits(pairs.select(F.explode(F.array("a", "b")))))
+    met = ours.unionByName(theirs).join(texts, "fp").select("a", "run", "other", F.col("fp").alias("b"), "text")
+    met = met.repartition("a", "run").sortWithinPartitions("a", "run", "other", "b")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whose, mine = None, np.zeros(0, U64)
@@ -285,19 +293,10 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Sc
     return met.mapInArrow(probe, "a long, b long")
 
 
-def near_components(docs: DataFrame, *, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", heavy: int = 16, most_heavy: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) of every row.
-
-    Nulls and repeats: a text that is null or without words has no shingles and
-    stays alone with its own id; repeated rows are equal texts, thus linked; a
-    null id takes part in links and gets the least id of its component, null
-    where that has none; an empty table gives no rows.  Classes are told apart
-    by a 64-bit fingerprint of their sets and their sizes.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _solved(named: DataFrame, scratch: Scratch, k: int, percent: int, heavy: int, most_heavy: int, least_short: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, fp of every row; node, component of every class that links)."""
+    spark = named.sparkSession
+    id_type = named.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,15 +307,28 @@ def near_components(docs: DataFrame, *, k: int, percent: int, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "n_shingles", "fp"])
 
     rows = scratch.keep(named.mapInArrow(sets, f"doc_id {id_type}, n_shingles long, fp long"), "rows")
-    lists = scratch.keep(short_lists(named, k, percent, parts, heavy_lists(named, k, parts, heavy, most_heavy, scratch)), "lists")
-    needed = scratch.keep(lists.select("fp").distinct(), "needed")
-    texts = scratch.keep(class_texts(named, k).join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    posted = short_lists(named, k, percent, least_short, parts, heavy_lists(named, k, parts, heavy, most_heavy, scratch))
+    posted = scratch.keep(posted, "posted")
+
+    def least(*n: str) -> Column:
+        """In how many short lists sets of these sizes must meet."""
+        return F.least(*(F.least(F.lit(least_short), F.ceil(F.col(x) * percent / 100)) for x in n), F.lit(least_short))
+
+    needed = posted.groupBy("fp").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= least("n"))
+    enough = named.sparkSession.sparkContext.broadcast(key_bits(scratch.keep(needed.select("fp"), "needed")))
+
+    def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(enough.value, batch.column(1).to_numpy())))
+
+    # classes that meet too seldom have no partner; the bitmap leaves nearly all of them out
+    lists = scratch.keep(posted.mapInArrow(strong, POSTING), "lists")
 
     centre = scratch.keep(lists.groupBy("shingle").agg(F.min(F.struct((F.col("light") / F.col("n")).alias("share"), "fp", "n")).alias("c")), "centre")
     like = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
-    votes = lists.join(centre, "shingle").where((F.col("fp") != F.col("c.fp")) & like).groupBy("fp", F.col("c.fp").alias("centre")).count()
+    votes = lists.join(centre, "shingle").where((F.col("fp") != F.col("c.fp")) & like).groupBy("fp", F.col("c.fp").alias("centre"), "n", F.col("c.n").alias("m")).count().where(F.col("count") >= least("n", "m"))
     star = votes.groupBy("fp").agg(F.max(F.struct("count", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("fp").alias("b"))
-    first = scratch.keep(linked(star, texts, k, percent, scratch, "star"), "first")
+    first = scratch.keep(linked(star, named, k, percent, scratch, "star"), "first")
 
     groups = scratch.keep(connected(first, scratch, "groups"), "grouped")
     labelled = lists.join(groups, F.col("fp") == F.col("node"), "left").withColumn("group", F.coalesce("component", "fp")).drop("node", "component")
@@ -324,15 +336,32 @@ def near_components(docs: DataFrame, *, k: int, percent: int, id_col: str = "doc
     mixed = labelled.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.struct((F.col("light") / F.col("n")).alias("share"), "fp", "group"))["group"].alias("main"))
     mixed = scratch.keep(mixed.where("low <> high").select("shingle", "main"), "mixed")
     apart = scratch.keep(labelled.join(mixed, "shingle"), "apart")
+    apart = apart.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))  # the first common shingle is among these
     x, y = apart.where("group <> main").alias("x"), apart.alias("y")
-    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # what sets can share from their first common shingle on
     could = (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     once = (F.col("y.group") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))
     rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.group") != F.col("y.group")) & could & once)
     rest = rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-    second = scratch.keep(linked(rest, texts, k, percent, scratch, "rest"), "second")
+    second = scratch.keep(linked(rest, named, k, percent, scratch, "rest"), "second")
 
     final = scratch.keep(connected(first.unionByName(second), scratch, "final"), "final")
+    scratch.drop("heavy", "posted", "lists", "needed", "labelled", "apart", "mixed", "centre")
+    return rows, final
+
+
+def near_components(docs: DataFrame, *, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", heavy: int = 16, most_heavy: int = 1 << 20, least_short: int = 8) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) of every row.
+
+    Nulls and repeats: a text that is null or without words has no shingles and
+    stays alone with its own id; repeated rows are equal texts, thus linked; a
+    null id takes part in links and gets the least id of its component, null
+    where that has none; an empty table gives no rows.  Classes are told apart
+    by a 64-bit fingerprint of their sets and their sizes.
+    """
+    scratch = Scratch(docs.sparkSession)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, final = _solved(named, scratch, k, percent, heavy, most_heavy, least_short)
     classes = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = classes.join(final, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     classes = scratch.keep(classes, "classes")
@@ -340,5 +369,30 @@ def near_components(docs: DataFrame, *, k: int, percent: int, id_col: str = "doc
     members = scratch.keep(classes.join(scratch.keep(ids, "ids"), "component").select("fp", "component_id"), "members")
     out = rows.where("n_shingles > 0").join(members, "fp").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    scratch.drop("heavy", "lists", "needed", "texts", "labelled", "apart", "mixed", "centre")
     return out.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", heavy: int = 16, most_heavy: int = 1 << 20, least_short: int = 8) -> DataFrame:
+    """The documents without near copies: of each component the row of least id stays (null last), of equal ones any.
+
+    Documents without words link with nothing, so all of them stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, final = _solved(named, scratch, k, percent, heavy, most_heavy, least_short)
+    classes = rows.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
+    classes = classes.join(final, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    best = scratch.keep(classes.groupBy("component").agg(F.min(F.struct("least", "fp")).alias("b")).select("b.fp", F.col("b.least.doc_id").alias("stay")), "best")
+
+    def with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprints(*row_sets(content, offsets, k), len(offsets) - 1)[1] for _, content, offsets in slices(batch.column("text"))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("row")], names=["fp", "row"])
+
+    packed = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    printed = packed.mapInArrow(with_print, f"fp long, row {packed.schema['row'].dataType.simpleString()}")
+    # the id is a key of the join as well, so a large class of copies is dealt over all tasks
+    mine = printed.where("fp <> 0").withColumn("id", F.col("row")[id_col]).alias("m")
+    kept = mine.join(best.alias("b"), (F.col("m.fp") == F.col("b.fp")) & F.col("m.id").eqNullSafe(F.col("b.stay"))).select("m.fp", "row").dropDuplicates(["fp"])
+    return kept.select("row.*").unionByName(printed.where("fp = 0").select("row.*"))
