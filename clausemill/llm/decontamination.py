@@ -22,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _STEP, LOWER, U64, WORD, mix, slices, span_hashes, words
+from .storage import Scratch, restored, whole_row
 
 _MASK = (1 << 20) - 1
 
@@ -127,17 +129,22 @@ class Index:
         return count, np.cumsum(change[:-1]) > 0, items, starts, ends
 
 
-def _indexes(items: DataFrame, k: int, window: int, most_bytes: int, id_col: str, text_col: str) -> Iterator[Index]:
+def _indexes(items: DataFrame, k: int, window: int, most_bytes: int, id_col: str, text_col: str) -> tuple[int, Iterator[Index]]:
+    """(passes, the index of each); one index at a time is in memory."""
     known = items.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item is not null")
     size = known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     passes = max(1, -(-size // most_bytes))
-    for n in range(passes):
-        part = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == n) if passes > 1 else known
-        yield Index([tuple(r) for r in part.collect()], k, window)
 
+    def parts() -> Iterator[Index]:
+        for n in range(passes):
+            part = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == n) if passes > 1 else known
+            yield Index([tuple(r) for r in part.collect()], k, window)
 
-def _report(docs: DataFrame, index: Index) -> DataFrame:
-    """Per row: doc_id, text, words, hit ranges of bytes and words, items."""
+    return passes, parts()
+
+
+def _report(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
+    """The rows with words, hit words, items and hit spans (of words and bytes); and what the executors hold for that."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,22 +167,26 @@ def _report(docs: DataFrame, index: Index) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{kinds}, n_words long, n_hit long, items array<string>, spans array<struct<word: long, words: long, byte: long, bytes: long>>")
+    return docs.mapInArrow(scan, f"{kinds}, n_words long, n_hit long, items array<string>, spans array<struct<word: long, words: long, byte: long, bytes: long>>"), shared
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, gram: int = 5, window: int = 10, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, gram: int = 5, window: int = 10, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids with an occurring window), spans (maximal runs of hit words and their bytes)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    reports = [_report(named, index) for index in _indexes(items, gram, window, most_bytes, item_col, item_text_col)]
-    if len(reports) == 1:
-        return reports[0] if keep_text else reports[0].drop("text")
-    merged = None
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.xxhash64("text").alias("k2"), F.length("text").alias("k3")]
-    for report in reports:
-        part = report.where("n_hit > 0").select(*key, "items", "spans")
+    passes, indexes = _indexes(items, gram, window, most_bytes, item_col, item_text_col)
+    if passes == 1:
+        return _report(named, next(indexes))[0].drop("text")
+    scratch = Scratch(docs.sparkSession)
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.xxhash64("text").alias("k2"), F.coalesce(F.length("text"), F.lit(-1)).alias("k3")]
+    base = merged = None
+    for n, index in enumerate(indexes):
+        report, shared = _report(named, index)
+        base = scratch.keep(report.select("doc_id", "n_words", *key), "base") if base is None else base
+        part = scratch.keep(report.where("n_hit > 0").select(*key, "items", "spans"), f"hits-{n}")
+        shared.destroy()
         merged = part if merged is None else merged.unionByName(part)
     merged = merged.groupBy("k1", "k2", "k3").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
-    base = reports[0].select("doc_id", "text", "n_words", *key).join(merged, ["k1", "k2", "k3"], "left")
+    base = base.join(merged, ["k1", "k2", "k3"], "left")
     joined = F.expr("""aggregate(spans, cast(array() as array<struct<word: bigint, words: bigint, byte: bigint, bytes: bigint>>), (done, s) -> if(
         size(done) > 0 and element_at(done, -1).word + element_at(done, -1).words >= s.word,
         concat(slice(done, 1, size(done) - 1), array(named_struct(
@@ -183,23 +194,26 @@ def contamination(docs: DataFrame, items: DataFrame, *, gram: int = 5, window: i
             'byte', element_at(done, -1).byte, 'bytes', greatest(element_at(done, -1).bytes, s.byte + s.bytes - element_at(done, -1).byte)))),
         concat(done, array(s))))""")
     out = base.withColumn("spans", F.coalesce(joined, F.array())).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.words)"))
-    return out.select("doc_id", *(["text"] if keep_text else []), "n_words", "n_hit", "items", "spans")
+    return out.select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
-def remove_hits(docs: DataFrame, items: DataFrame, *, most_share: float = 0.5, least_words: int = 1, text_col: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
+def remove_hits(docs: DataFrame, items: DataFrame, *, most_share: float = 0.5, text_col: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
     """The documents without the hit spans of their texts; one of which more than `most_share` is hit goes whole.
 
     Rows without hits keep every column as it is.  `spans` is in bytes, so the
     text is cut as binary and decoded again; words never split a character.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("rest"))
-    index = list(_indexes(items, settings.get("gram", 5), settings.get("window", 10), settings.get("most_bytes", 64 << 20), settings.get("item_col", "item_id"), settings.get("item_text_col", "text")))
-    for one in index:  # one pass for each part of the items; a later one sees what the earlier have left
-        found = _report(packed, one).where(F.col("n_hit") <= most_share * F.col("n_words"))
+    scratch = Scratch(docs.sparkSession)
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), whole_row(docs).alias("row"))
+    passes, indexes = _indexes(items, settings.get("gram", 5), settings.get("window", 10), settings.get("most_bytes", 64 << 20), settings.get("item_col", "item_id"), settings.get("item_text_col", "text"))
+    for n, index in enumerate(indexes):  # one pass for each part of the items; a later one sees what the earlier have left
+        report, shared = _report(packed, index)
+        found = report.where(F.col("n_hit") <= most_share * F.col("n_words"))
         kept = F.expr("""decode(unhex(array_join(transform(sequence(0, size(spans)), i -> hex(substring(cast(text as binary),
             cast(if(i = 0, 0L, spans[i - 1].byte + spans[i - 1].bytes) as int) + 1,
             cast(if(i = size(spans), octet_length(text), spans[i].byte) - if(i = 0, 0L, spans[i - 1].byte + spans[i - 1].bytes) as int)))), '')), 'UTF-8')""")
-        packed = found.withColumn("text", F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text"))).select("doc_id", "text", "rest")
-    by_name = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("text").alias(text_col)} | {c: F.col("rest")[c].alias(c) for c in others}
-    return packed.select(*(by_name[c] for c in docs.columns))
+        packed = found.withColumn("text", F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text"))).select("doc_id", "text", "row")
+        if passes > 1:
+            packed = scratch.keep(packed, f"pass-{n}")
+            shared.destroy()
+    return packed.select(*restored(docs, **{text_col: F.col("text")}))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, NOT_SPACE, U64, mix, row_sums, shingles, slices, span_hashes, words
 from .components import connected
 from .prefilter import key_bits, maybe_in
-from .storage import Scratch
+from .storage import Scratch, restored, whole_row
 
 POSTING = "shingle long, fp long, n int, pos int, light int"
 _KINDS = {"shingle": U64, "fp": U64, "n": np.uint32, "pos": np.uint32, "light": np.uint32}
@@ -390,9 +390,9 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("row")], names=["fp", "row"])
 
-    packed = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    packed = docs.select(F.col(text_col).alias("text"), whole_row(docs).alias("row"))
     printed = packed.mapInArrow(with_print, f"fp long, row {packed.schema['row'].dataType.simpleString()}")
     # the id is a key of the join as well, so a large class of copies is dealt over all tasks
-    mine = printed.where("fp <> 0").withColumn("id", F.col("row")[id_col]).alias("m")
+    mine = printed.where("fp <> 0").withColumn("id", F.col("row")[f"c{docs.columns.index(id_col)}"]).alias("m")
     kept = mine.join(best.alias("b"), (F.col("m.fp") == F.col("b.fp")) & F.col("m.id").eqNullSafe(F.col("b.stay"))).select("m.fp", "row").dropDuplicates(["fp"])
-    return kept.select("row.*").unionByName(printed.where("fp = 0").select("row.*"))
+    return kept.select("row").unionByName(printed.where("fp = 0").select("row")).select(*restored(docs))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, U64, _bytes_in, mix, slices, span_hashes, words
+from .storage import restored, whole_row
 
 WORD = _bytes_in((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 ASCII_LETTER = _bytes_in((0x41, 0x5A), (0x61, 0x7A))
@@ -167,7 +168,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, most_cells: int = 12_000_000) -> DataFrame:
     """doc_id, lang_pred, score (share of the words), spans (language, words) of every row; with `keep_rows` also the whole row as `row`."""
     langs = np.array([*model.langs, "und"], object)
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep_rows else []))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([whole_row(docs).alias("row")] if keep_rows else []))
     carried = [f for f in given.schema.fields if f.name != "text"]
 
     def label(texts: list[str | None], scores: list[np.ndarray], counts: np.ndarray, plain: np.ndarray) -> list[pa.Array]:
@@ -224,4 +225,4 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, model: Model, *, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents of which a language has at least `least_score` of the words, with that as their language."""
     found = identify(docs, model, id_col=id_col, text_col=text_col, keep_rows=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return found.select(*[F.col("lang_pred").alias(c) if c == lang_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return found.select(*restored(docs, **{lang_col: F.col("lang_pred")}))

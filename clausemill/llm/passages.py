@@ -39,7 +39,7 @@ from .components import connected
 from .decontamination import grams
 from .jaccard_join import _pack, _unpack
 from .prefilter import key_bits, maybe_in
-from .storage import Scratch
+from .storage import Scratch, restored, whole_row
 
 GRAM = 5
 _PASSAGE = "x long, x_start int, x_words int, y long, y_start int, y_words int"
@@ -296,11 +296,11 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     cuts = found.groupBy(F.col("x").alias("fp")).agg(F.collect_set(F.struct(F.col("x_start").alias("start"), F.col("x_words").alias("words"))).alias("cuts"))
     cuts = scratch.keep(cuts, "cuts")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    packed = docs.select(F.xxhash64(text).alias("fp"), F.struct(*docs.columns).alias("row"), text.alias("text"))
+    packed = docs.select(F.xxhash64(text).alias("fp"), whole_row(docs).alias("row"), text.alias("text"))
     copies = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     copies = copies.where((F.col("n") > 1) & (F.col("n_words") >= settings.get("least_words", 40))).select("fp", "first_id", F.lit(True).alias("copied"))
     known = scratch.keep(copies.join(cuts, "fp", "full"), "known")  # one join of the texts
-    joined = packed.join(known, "fp", "left").where(F.col("copied").isNull() | F.col(f"row.{id_col}").eqNullSafe(F.col("first_id"))).select("fp", "row", "text", "cuts")
+    joined = packed.join(known, "fp", "left").where(F.col("copied").isNull() | F.col("row")[f"c{docs.columns.index(id_col)}"].eqNullSafe(F.col("first_id"))).select("fp", "row", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,5 +326,5 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
 
     kind = packed.schema["row"].dataType.simpleString()
     done = joined.mapInArrow(cut, f"row {kind}, text string, left long").where((F.col("left") < 0) | (F.col("left") >= least_left))
-    values = [F.when(F.col("left") >= 0, F.col("text")).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return done.select(*values)
+    given = F.col("row")[f"c{docs.columns.index(text_col)}"]
+    return done.select(*restored(docs, **{text_col: F.when(F.col("left") >= 0, F.col("text")).otherwise(given)}))

@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 
+#: Buckets of groups, and runs of rows, are larger beyond this many, so what the driver holds stays bounded.
+MOST_BUCKETS = 1 << 16
+
+
 def difference(sums: np.ndarray) -> np.ndarray:
     """(partition, part) -> part of the combined partition, for partial partitions given by their parts' sums.
 
@@ -68,7 +72,8 @@ def shard(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; the law is `bytes`.
 
     The driver holds `shards` numbers for each bucket of about `bucket_groups`
-    groups, and rows are numbered within shards by runs of bounded length.
+    groups, of which there are at most MOST_BUCKETS; rows are numbered within
+    shards by as many runs at most.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -80,7 +85,7 @@ def shard(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col:
     )
     rows = scratch.keep(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
     groups = scratch.keep(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
-    buckets = max(1, -(-groups.count() // bucket_groups))
+    buckets = max(1, min(MOST_BUCKETS, -(-groups.count() // bucket_groups)))
 
     def halve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key")
@@ -95,7 +100,7 @@ def shard(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id", text_col:
     fixed = docs.sparkSession.createDataFrame([(b, p, int(places[b, p])) for b in range(buckets) for p in range(shards)], "bucket int, part int, shard int")
     placed = scratch.keep(dealt.join(F.broadcast(fixed) if buckets * shards <= 1 << 18 else fixed, ["bucket", "part"]).select("key", "shard"), "placed")
 
-    runs = max(1, -(-rows.count() // (shards * bucket_groups)))
+    runs = max(1, min(MOST_BUCKETS // shards, -(-rows.count() // (shards * bucket_groups))))
     sharded = rows.join(placed, "key").withColumn("run", F.pmod(F.xxhash64("uid"), F.lit(runs)).cast("int"))
     sharded = scratch.keep(sharded.drop("key"), "sharded")
     counts = sharded.groupBy("shard", "run").count().toPandas().sort_values(["shard", "run"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,6 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, with fields c0, c1, ...: no name can clash or need quoting while the row is carried along."""
+    quoted = [c.replace("`", "``") for c in docs.columns]
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(quoted)])
+
+
+def restored(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of `docs` out of a carried `row`, some changed."""
+    return [(changed[c] if c in changed else F.col("row")[f"c{n}"]).alias(c) for n, c in enumerate(docs.columns)]
+
+
 class Scratch:
     """Written intermediate tables of one operator.
 

@@ -31,7 +31,8 @@ def odd(spark):
         (1, None, None, None, "x", 1), (2, "", "en", "a", "x", 2), (None, prose(2, 60), "en", "a", "x", 3), (4, prose(2, 60), "en", None, None, 4), (4, prose(2, 60), "en", None, None, 4),
         (5, long, "de", "b", "x", 5), (6, "   \n \n ", "de", "b", "x", 6), (7, "123 456 !!", "de", "b", "x", 7), (8, prose(3, 90), None, "b", "x", 8),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, fp string, uid int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, fp string, uid int")
+    return docs.withColumn("row", F.lit("r")).withColumn("x.y`z", F.lit(1)).withColumn("left", F.lit(2))
 
 
 @pytest.fixture(scope="module")
