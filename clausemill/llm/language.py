@@ -165,16 +165,16 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return labels[at]
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, most_cells: int = 12_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, most_cells: int = 4_000_000) -> DataFrame:
     """doc_id, lang_pred, score (share of the words), spans (language, words) of every row; with `keep_rows` also the whole row as `row`."""
     langs = np.array([*model.langs, "und"], object)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([whole_row(docs).alias("row")] if keep_rows else []))
     carried = [f for f in given.schema.fields if f.name != "text"]
 
-    def label(texts: list[str | None], scores: list[np.ndarray], counts: np.ndarray, plain: np.ndarray) -> list[pa.Array]:
+    def label(texts: pa.Array, scores: list[np.ndarray], counts: np.ndarray, plain: np.ndarray) -> list[pa.Array]:
         lettered = plain.copy()
         for i in np.flatnonzero(~plain & (counts > 0)):
-            lettered[i] = any(c.isalpha() for c in texts[i])
+            lettered[i] = any(c.isalpha() for c in texts[int(i)].as_py())
         labels = viterbi(np.concatenate(scores), counts, model.penalty).astype(np.int64)
         row = np.repeat(np.arange(len(counts)), counts)
         votes = np.bincount(row * len(model.langs) + labels, minlength=len(counts) * len(model.langs)).reshape(len(counts), -1)
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             def done(first: int) -> pa.RecordBatch:
                 scores, counts, plain = zip(*held, strict=True)
                 n = np.concatenate(counts)
-                out = label(column.slice(first, len(n)).to_pylist(), list(scores), n, np.concatenate(plain))
+                out = label(column.slice(first, len(n)), list(scores), n, np.concatenate(plain))
                 return pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(first, len(n)) for f in carried), *out], names=names)
 
             for _, content, offsets in slices(column):

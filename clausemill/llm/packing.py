@@ -54,10 +54,11 @@ class WordEncoder:
     tokenizer does not, is encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words_kept: int = WORDS, chunks_kept: int = CHUNKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.words_kept, self.chunks_kept = words_kept, chunks_kept
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.tails = dict(zip(".,", self._encoded([".", ","]), strict=True))
@@ -65,11 +66,13 @@ class WordEncoder:
         self.chunks: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        """The encoder that this worker keeps for all its tasks."""
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+    def of(cls, path: str, words_kept: int) -> WordEncoder:
+        """The encoder that this worker keeps for all its tasks; another one frees it."""
+        key = f"{path}\n{words_kept}"
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = cls(path, words_kept, words_kept * CHUNKS // WORDS)
+        return _encoders[key]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -78,9 +81,9 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for at in range(0, len(texts), 256):
-            if len(self.words) > WORDS:
+            if len(self.words) > self.words_kept:
                 self.words = {}
-            if len(self.chunks) > CHUNKS:
+            if len(self.chunks) > self.chunks_kept:
                 self.chunks = {}
             yield from self._some(texts[at : at + 256])
 
@@ -108,12 +111,12 @@ class WordEncoder:
             yield self._encoded([text])[0] if whole else b"".join(map(self.chunks.__getitem__, row))
 
 
-def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS) -> DataFrame:
     """One row per piece of at most `limit` tokens of each document, its end id included."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder.of(tokenizer)
+        encode = WordEncoder.of(tokenizer, words_kept)
         last = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows, columns = [], ([], [], [], [])
@@ -224,15 +227,16 @@ def _packed(frame: pd.DataFrame, limit: int, settle: int) -> pd.DataFrame:
     return frame
 
 
-def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", bucket_pieces: int = 2048, merge_buckets: int = 16) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", bucket_pieces: int = 2048, merge_buckets: int = 16, words_kept: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    Only pieces' lengths are shuffled, never texts.  A task holds about
+    A worker keeps the ids of `words_kept` words, about 300 bytes each.  Only
+    pieces' lengths are shuffled, never texts.  A task holds about
     `bucket_pieces` rows in the first round and at most `merge_buckets` times
     as many in the second.
     """
     scratch = Scratch(docs.sparkSession)
-    cut = pieces(docs, tokenizer, limit, end_id, id_col, text_col)
+    cut = pieces(docs, tokenizer, limit, end_id, id_col, text_col, words_kept)
     cut = scratch.keep(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     buckets = max(1, -(-cut.count() // bucket_pieces))
     fields = f"{cut.schema['doc_id'].dataType.simpleString()}, {PIECES}, uid long, bucket int, sequence_id long, offset long, settled boolean"
