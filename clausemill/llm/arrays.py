@@ -8,6 +8,7 @@ a batch of bounded size, whatever the length of single texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+#: What a worker keeps from one task to the next, by owner.
+held: dict[str, object] = {}
+
+
+def release(owner: str = "") -> None:
+    """Gives memory that earlier tasks of this worker have left back to the system, but for what the owner keeps."""
+    for name in [n for n in held if n != owner]:
+        del held[name]
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x.astype(U64, copy=True)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import _STEP, LOWER, U64, WORD, mix, slices, span_hashes, words
+from .arrays import _STEP, LOWER, U64, WORD, mix, release, slices, span_hashes, words
 from .storage import Scratch, restored, whole_row
 
 _MASK = (1 << 20) - 1
@@ -148,6 +148,7 @@ def _report(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n_words, n_hit, names, spans = [], [], [], []
             for _, content, offsets in slices(batch.column(1)):

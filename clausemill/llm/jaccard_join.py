@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, NOT_SPACE, U64, mix, row_sums, shingles, slices, span_hashes, words
+from .arrays import LOWER, NOT_SPACE, U64, mix, release, row_sums, shingles, slices, span_hashes, words
 from .components import connected
 from .prefilter import key_bits, maybe_in
 from .storage import Scratch, restored, whole_row
@@ -117,6 +117,7 @@ def heavy_lists(docs: DataFrame, k: int, parts: int, heavy: int, most_heavy: int
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
@@ -130,7 +131,7 @@ def heavy_lists(docs: DataFrame, k: int, parts: int, heavy: int, most_heavy: int
                 value, row = row_sets(content, offsets, k)
                 fresh = _new(fingerprints(value, row, len(offsets) - 1)[1], seen)
                 held.append((value[fresh[row]] >> U64(32)).astype(np.uint32))
-                if sum(map(len, held)) > 6_000_000:
+                if sum(map(len, held)) > 2_000_000:
                     yield flush()
         if held:
             yield flush()
@@ -170,6 +171,7 @@ def short_lists(docs: DataFrame, k: int, percent: int, least_short: int, parts:
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bucket, df = shared.value
         seen: set[int] = set()
         held: list[list[np.ndarray]] = []
@@ -205,7 +207,7 @@ def short_lists(docs: DataFrame, k: int, percent: int, least_short: int, parts:
                     dealt = value + mix(fp[row] % (1 + length // np.uint32(salt)).astype(U64) + U64(1)) * (length > 0).astype(U64)
                 part = (mix(dealt) >> U64(32)) * U64(parts) >> U64(32)
                 held.append([part, value, fp[row], n.astype(np.uint32), pos.astype(np.uint32), light.astype(np.uint32)])
-                if sum(len(h[0]) for h in held) > 2_000_000:
+                if sum(len(h[0]) for h in held) > 700_000:
                     yield flush()
         if held:
             yield flush()
@@ -273,6 +275,7 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
     met = met.repartition("a", "run").sortWithinPartitions("a", "run", "other", "b")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         whose, mine = None, np.zeros(0, U64)
         for batch in batches:
             a, other, b = (batch.column(i).to_numpy() for i in (0, 2, 3))
@@ -300,6 +303,7 @@ def _solved(named: DataFrame, scratch: Scratch, k: int, percent: int, heavy: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [fingerprints(*row_sets(content, offsets, k), len(offsets) - 1) for _, content, offsets in slices(batch.column(1))]
             if found:

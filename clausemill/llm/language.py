@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U64, _bytes_in, mix, slices, span_hashes, words
+from .arrays import LOWER, U64, _bytes_in, mix, release, slices, span_hashes, words
 from .storage import restored, whole_row
 
 WORD = _bytes_in((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         return [pa.array(["und"] * rows, pa.string()), pa.array([0.0] * rows, pa.float64()), pa.array([[]] * rows, kind)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         names = [*(f.name for f in carried), "lang_pred", "score", "spans"]
         for batch in batches:
             column = batch.column("text")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, NOT_SPACE, U64, mix, slices, span_hashes, words
+from .arrays import LOWER, NOT_SPACE, U64, mix, release, slices, span_hashes, words
 from .components import connected
 from .decontamination import grams
 from .jaccard_join import _pack, _unpack
@@ -101,6 +101,7 @@ def links(named: DataFrame, parts: int, size: int, radius: int, bands: int) -> D
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(columns[0])], pa.int64()), pa.array([data], pa.binary()), pa.array([fps.tobytes()], pa.binary())], names=["part", "n_rows", "data", "fps"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         have: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -130,7 +131,7 @@ def links(named: DataFrame, parts: int, size: int, radius: int, bands: int) -> D
                 at = at[fresh[rows[at]]] if len(at) else at
                 found, _ = keys(hashes, at, size, bands)
                 have.append((found.ravel(), np.repeat(own[rows[at]] if len(at) else own[:0], bands + 1)))
-                if sum(len(k) for k, _ in have) > 2_000_000:
+                if sum(len(k) for k, _ in have) > 1_000_000:
                     yield from flush()
         if have:
             yield from flush()
@@ -202,6 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, settings: tup
     met = met.select("y", "run", "other", "fp", "text").repartition("y", "run").sortWithinPartitions("y", "run", "other", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         whose, mine, of_mine = None, np.zeros(0, U64), None
         for batch in batches:
             y, other, fp = (batch.column(i).to_numpy() for i in (0, 2, 3))
