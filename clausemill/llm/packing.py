@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import held, release
 from .storage import Scratch
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -40,7 +41,6 @@ _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
-_encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -68,11 +68,11 @@ class WordEncoder:
     @classmethod
     def of(cls, path: str, words_kept: int) -> WordEncoder:
         """The encoder that this worker keeps for all its tasks; another one frees it."""
-        key = f"{path}\n{words_kept}"
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = cls(path, words_kept, words_kept * CHUNKS // WORDS)
-        return _encoders[key]
+        name = f"encoder {words_kept} {path}"
+        release(name)
+        if name not in held:
+            held[name] = cls(path, words_kept, words_kept * CHUNKS // WORDS)
+        return held[name]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -198,7 +198,7 @@ def _drained(low: int, under: list[int], bins: list[list[int]], fill: list[int],
     return moved
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds: int = 40, near: int = 60) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds: int = 40, near: int = 60, lows: int = 3) -> list[list[int]]:
     """Raises the sum of squared fills by moves and exchanges until no bin fewer is possible or nothing helps."""
     least = -(-int(lengths.sum()) // limit)
     fill = [int(lengths[b].sum()) for b in bins]
@@ -209,7 +209,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds:
         under = sorted((n for n in live if fill[n] < limit), key=lambda n: fill[n])
         if not under:
             break
-        if not any(_drained(low, under, bins, fill, lengths, limit, near) for low in under[:near]):
+        if not any(_drained(low, under, bins, fill, lengths, limit, near) for low in under[:lows]):
             break
     return [b for b in bins if b]
 
