@@ -32,6 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, release, row_sums, shingles, slices, span_hashes, words
 from .components import connected
@@ -396,7 +397,22 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
 
     packed = docs.select(F.col(text_col).alias("text"), whole_row(docs).alias("row"))
     printed = packed.mapInArrow(with_print, f"fp long, row {packed.schema['row'].dataType.simpleString()}")
+    # rows whose class and id are surely none of those that go stay where they are; the others meet the exact list
+    name = F.xxhash64("fp", "doc_id")
+    goes = rows.where("n_shingles > 0").join(best.withColumnRenamed("fp", "bfp"), (F.col("fp") == F.col("bfp")) & F.col("doc_id").eqNullSafe(F.col("stay")), "left")
+    repeats = rows.where("n_shingles > 0").groupBy("fp", "doc_id").count().where("count > 1").select(name.alias("k"))
+    goes = scratch.keep(goes.where("bfp is null").select(name.alias("k")).unionByName(repeats), "goes")
+    bits = docs.sparkSession.sparkContext.broadcast(key_bits(goes))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe_in(bits.value, batch.column(0).to_numpy()))], names=["k", "fp", "row", "doubt"])
+
+    mine = printed.where("fp <> 0").select(F.xxhash64("fp", F.col("row")[f"c{docs.columns.index(id_col)}"]).alias("k"), "fp", "row")
+    mine = mine.mapInArrow(marked, T.StructType([*mine.schema.fields, T.StructField("doubt", T.BooleanType())]))
+    sure = mine.where("not doubt").select("fp", "row")
     # the id is a key of the join as well, so a large class of copies is dealt over all tasks
-    mine = printed.where("fp <> 0").withColumn("id", F.col("row")[f"c{docs.columns.index(id_col)}"]).alias("m")
-    kept = mine.join(best.alias("b"), (F.col("m.fp") == F.col("b.fp")) & F.col("m.id").eqNullSafe(F.col("b.stay"))).select("m.fp", "row").dropDuplicates(["fp"])
+    open_rows = mine.where("doubt").withColumn("id", F.col("row")[f"c{docs.columns.index(id_col)}"]).alias("m")
+    kept = open_rows.join(best.alias("b"), (F.col("m.fp") == F.col("b.fp")) & F.col("m.id").eqNullSafe(F.col("b.stay"))).select("m.fp", "row").dropDuplicates(["fp"])
+    kept = sure.unionByName(kept)
     return kept.select("row").unionByName(printed.where("fp = 0").select("row")).select(*restored(docs))

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, release, slices, span_hashes, words
 from .components import connected
@@ -302,7 +303,15 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     copies = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
     copies = copies.where((F.col("n") > 1) & (F.col("n_words") >= settings.get("least_words", 40))).select("fp", "first_id", F.lit(True).alias("copied"))
     known = scratch.keep(copies.join(cuts, "fp", "full"), "known")  # one join of the texts
-    joined = packed.join(known, "fp", "left").where(F.col("copied").isNull() | F.col("row")[f"c{docs.columns.index(id_col)}"].eqNullSafe(F.col("first_id"))).select("fp", "row", "text", "cuts")
+    bits = docs.sparkSession.sparkContext.broadcast(key_bits(known.select("fp")))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe_in(bits.value, batch.column(0).to_numpy()))], names=["fp", "row", "text", "doubt"])
+
+    # texts that surely lose nothing stay where they are; the others meet the exact list
+    packed = packed.mapInArrow(marked, T.StructType([*packed.schema.fields, T.StructField("doubt", T.BooleanType())]))
+    joined = packed.where("doubt").join(known, "fp", "left").where(F.col("copied").isNull() | F.col("row")[f"c{docs.columns.index(id_col)}"].eqNullSafe(F.col("first_id"))).select("fp", "row", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,4 +338,5 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     kind = packed.schema["row"].dataType.simpleString()
     done = joined.mapInArrow(cut, f"row {kind}, text string, left long").where((F.col("left") < 0) | (F.col("left") >= least_left))
     given = F.col("row")[f"c{docs.columns.index(text_col)}"]
-    return done.select(*restored(docs, **{text_col: F.when(F.col("left") >= 0, F.col("text")).otherwise(given)}))
+    whole = packed.where("not doubt").select("row", "text", F.lit(-1).cast("long").alias("left"))
+    return done.unionByName(whole).select(*restored(docs, **{text_col: F.when(F.col("left") >= 0, F.col("text")).otherwise(given)}))
