@@ -69,8 +69,8 @@ class WordEncoder:
     def of(cls, path: str, words_kept: int) -> WordEncoder:
         """The encoder that this worker keeps for all its tasks; another one frees it."""
         name = f"encoder {words_kept} {path}"
-        release(name)
         if name not in held:
+            release(name)
             held[name] = cls(path, words_kept, words_kept * CHUNKS // WORDS)
         return held[name]
 
