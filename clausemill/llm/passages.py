@@ -11,9 +11,9 @@ words holds several.
 
 For each key a task sends on one leader, the least document, and links the
 others to it, so no list of a key is longer than the number of tasks.  Linked
-documents are compared whole: paragraphs that share a key are verified by exact
-Jaccard similarity of 5-grams, matching words next to them are added, and
-passages of at least `least_words` words count.  The greater document of a pair
+documents are compared whole: paragraphs that share a key are laid on each other
+and extended over words that differ, and passages of at least `least_words`
+words whose own 5-grams have Jaccard similarity `percent` count.  The greater document of a pair
 loses the passage, so the least copy of each stays.  Documents that passages
 connect form components.
 
@@ -156,40 +156,72 @@ def links(named: DataFrame, parts: int, size: int, radius: int, bands: int) -> D
     return named.mapInArrow(scan, "part int, n_rows long, data binary, fps binary").repartition(parts, "part").mapInArrow(merge, "x long, y long")
 
 
+def _aligned(same: np.ndarray, percent: int, least: int) -> list[tuple[int, int]]:
+    """(begin, end) on a diagonal, longest first: stretches of `least` words or more whose 5-grams, place by place, have Jaccard similarity of `percent`; `same` tells where words agree."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))).reshape(-1, 2)
+    edges = edges[edges[:, 1] - edges[:, 0] >= GRAM]
+    if not len(edges):
+        return []
+    begin, end = edges.T
+    grams_before = np.concatenate([[0], np.cumsum(end - begin - GRAM + 1)])
+    # of N 5-grams M agree: M / (2N - M) is enough where (100 + percent) * M >= 2 * percent * N
+    from_ = (100 + percent) * grams_before[:-1] - 2 * percent * begin
+    to = (100 + percent) * grams_before[1:] - 2 * percent * (end - GRAM + 1)
+    found, open_ = [], [(0, len(edges))]
+    while open_:
+        low, high = open_.pop()
+        if low >= high:
+            continue
+        best = np.maximum.accumulate(to[low:high][::-1])  # of the stretches that end last
+        back = np.searchsorted(best, from_[low:high])
+        last = high - 1 - back
+        ok = (back < len(best)) & (last >= np.arange(low, high))
+        words_of = np.where(ok, end[np.maximum(last, 0)] - begin[low:high], 0)
+        i = int(words_of.argmax())
+        if words_of[i] < least:
+            continue
+        found.append((int(begin[low + i]), int(end[last[i]])))
+        open_ += [(low, low + i), (int(last[i]) + 1, high)]
+    return sorted(found, key=lambda s: s[0] - s[1])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the sets of 5-grams of two passages are similar enough."""
+    a, b = (np.unique(grams(h, np.arange(max(0, len(h) - GRAM + 1)), GRAM)) for h in (x, y))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def common(x: np.ndarray, y: np.ndarray, size: int, radius: int, bands: int, percent: int, least_words: int, of_y: tuple | None = None) -> list[tuple[int, int, int, int]]:
     """(start, words, start in y, words in y) of the passages that two texts share, given by the hashes of their words."""
     at_x, at_y = (anchors(h, np.zeros(len(h), np.int64), size, radius) for h in (x, y))
-    (key_x, gram_x), (key_y, gram_y) = keys(x, at_x, size, bands), of_y or keys(y, at_y, size, bands)
+    (key_x, _), (key_y, _) = keys(x, at_x, size, bands), of_y or keys(y, at_y, size, bands)
     order = np.argsort(key_y.ravel(), kind="stable")
     sorted_y = key_y.ravel()[order]
     low, high = (np.searchsorted(sorted_y, key_x.ravel(), side) for side in ("left", "right"))
-    hit = np.flatnonzero(low < high)
-    pairs = {(int(h // key_x.shape[1]), int(order[low[h]] // key_x.shape[1])) for h in hit.tolist()}
+    times = high - low
+    hit = np.repeat(np.arange(len(times)), times)
+    other = order[np.repeat(low, times) + np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times)]
     spans: list[tuple[int, int, int, int]] = []
-    diagonals: dict[int, np.ndarray] = {}
-    for i, j in sorted(pairs):
-        if key_x[i, 0] != key_y[j, 0]:
-            both = len(np.intersect1d(gram_x[i], gram_y[j]))
-            either = len(np.unique(gram_x[i])) + len(np.unique(gram_y[j])) - both
-            if 100 * both < percent * either:
-                continue
-        p, q = int(at_x[i]), int(at_y[j])
-        shift = p - q
-        if shift not in diagonals:
+    shifts = set(np.unique(at_x[hit // key_x.shape[1]] - at_y[other // key_x.shape[1]]).tolist())
+    near: set[int] = set()
+    for least, some in ((size, shifts), (GRAM, near)):  # then the shifts next to those found, for words put in or left out
+        for shift in sorted(some):
             a, b = max(0, shift), min(len(x), len(y) + shift)
-            diagonals[shift] = np.flatnonzero(np.concatenate([[True], x[a:b] != y[a - shift : b - shift], [True]])) + a - 1
-        odd = diagonals[shift]  # places on this diagonal where words differ, and its ends
-        begin = int(odd[np.searchsorted(odd, p, "right") - 1]) + 1 if x[p] == y[q] else p
-        last = p + size - 1
-        end = int(odd[np.searchsorted(odd, last)]) if x[last] == y[q + size - 1] else p + size
-        spans.append((begin, end, begin - shift, end - shift))
+            found = [(a + s, a + e, a + s - shift, a + e - shift) for s, e in _aligned(x[a:b] == y[a - shift : b - shift], percent, least)] if a < b else []
+            spans += found
+            if some is shifts and found:
+                near |= {shift + n for n in (-2, -1, 1, 2)} - shifts
     merged: list[list[int]] = []
     for span in sorted(set(spans)):
-        if merged and span[0] <= merged[-1][1] + 8:
-            merged[-1][1] = max(merged[-1][1], span[1])
-            merged[-1][2], merged[-1][3] = min(merged[-1][2], span[2]), max(merged[-1][3], span[3])
-        else:
-            merged.append(list(span))
+        if merged and span[1] <= merged[-1][1]:
+            continue
+        if merged and span[0] <= merged[-1][1] + 8:  # words put in or left out between the two
+            a, b, c, d = merged[-1][0], span[1], min(merged[-1][2], span[2]), max(merged[-1][3], span[3])
+            if d - c <= 2 * (b - a) and _alike(x[a:b], y[c:d], percent):
+                merged[-1] = [a, b, c, d]
+                continue
+        merged.append(list(span))
     return [(a, b - a, c, d - c) for a, b, c, d in merged if b - a >= least_words]
 
 

@@ -110,6 +110,18 @@ def test_passages_tolerate_edits_but_not_other_texts(spark):
     assert max(r["words"] for r in rows) == 120
 
 
+def test_passages_with_a_word_changed_or_put_in(spark):
+    def found(seed, n, put_in):
+        rng = np.random.default_rng(seed)
+        passage, *around = (rng.integers(1, 2**63, k, dtype=np.uint64) for k in (n, 70, 70, 50, 50))
+        copy = np.insert(passage, n // 2, np.uint64(7)) if put_in else np.where(np.arange(n) == n // 2, np.uint64(7), passage)
+        spans = passages.common(np.concatenate([around[0], passage, around[1]]), np.concatenate([around[2], copy, around[3]]), 24, 6, 3, 80, 40)
+        return any(start <= 70 + n // 10 and start + words >= 70 + n - n // 10 for start, words, _, _ in spans)
+
+    assert np.mean([found(seed, 60, False) for seed in range(100)]) > 0.95
+    assert np.mean([found(seed, 60, True) for seed in range(100)]) > 0.85
+
+
 def test_passages_edge_cases(odd, none):
     rows = passages.find(odd).collect()
     assert {r["doc_id"] for r in rows} == {4, None}
