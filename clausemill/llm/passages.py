@@ -13,7 +13,9 @@ For each key a task sends on one leader, the least document, and links the
 others to it, so no list of a key is longer than the number of tasks.  Linked
 documents are compared whole: paragraphs that share a key are laid on each other
 and extended over words that differ, and passages of at least `least_words`
-words whose own 5-grams have Jaccard similarity `percent` count.  The greater document of a pair
+words whose own 5-grams have Jaccard similarity `percent` count.  Texts that
+share a key but no passage with its leader are compared with new leaders from
+among them, until none is left that may share one.  The greater document of a pair
 loses the passage, so the least copy of each stays.  Documents that passages
 connect form components.
 
@@ -27,6 +29,7 @@ its text, after all others; repeated rows are copies; texts of less than
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ from .prefilter import key_bits, maybe_in
 from .storage import Scratch, restored, whole_row
 
 GRAM = 5
+#: Words on each side of a paragraph by which those that share a passage around it are told.
+AROUND = 40
 _PASSAGE = "x long, x_start int, x_words int, y long, y_start int, y_words int"
 
 
@@ -192,8 +197,13 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def common(x: np.ndarray, y: np.ndarray, size: int, radius: int, bands: int, percent: int, least_words: int, of_y: tuple | None = None) -> list[tuple[int, int, int, int]]:
+def common(*args, **kwargs) -> list[tuple[int, int, int, int]]:
     """(start, words, start in y, words in y) of the passages that two texts share, given by the hashes of their words."""
+    return compared(*args, **kwargs)[0]
+
+
+def compared(x: np.ndarray, y: np.ndarray, size: int, radius: int, bands: int, percent: int, least_words: int, of_y: tuple | None = None) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
+    """(passages as of `common`, keys shared outside all of them, the places in x of their paragraphs)."""
     at_x, at_y = (anchors(h, np.zeros(len(h), np.int64), size, radius) for h in (x, y))
     (key_x, _), (key_y, _) = keys(x, at_x, size, bands), of_y or keys(y, at_y, size, bands)
     order = np.argsort(key_y.ravel(), kind="stable")
@@ -222,18 +232,69 @@ def common(x: np.ndarray, y: np.ndarray, size: int, radius: int, bands: int, per
                 merged[-1] = [a, b, c, d]
                 continue
         merged.append(list(span))
-    return [(a, b - a, c, d - c) for a, b, c, d in merged if b - a >= least_words]
+    merged = [m for m in merged if m[1] - m[0] >= least_words]
+    hit = np.flatnonzero(times)
+    place = at_x[hit // key_x.shape[1]]
+    outside = np.ones(len(hit), bool)
+    for a, b, _, _ in merged:
+        outside &= (place + size // 2 < a) | (place + size // 2 >= b)
+    return [(a, b - a, c, d - c) for a, b, c, d in merged], key_x.ravel()[hit[outside]], place[outside]
+
+
+def elected(left: DataFrame, size: int, percent: int, least_words: int) -> DataFrame:
+    """x, y, key: for each key of key, x and around, x linked to y, the least of those not linked to a lesser one, where they share a passage around the paragraph."""
+    middle = AROUND + size // 2
+
+    def links_of(fp: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, int]]:
+        order = np.argsort(fp, kind="stable")
+        fp, around = fp[order], around[order]
+        while len(fp):
+            first = fp == fp[0]
+            rest, own = around[~first], around[first]
+            near = np.zeros(len(rest), bool)
+            for one in own:
+                same = rest == one
+                for i in np.flatnonzero(~near & (same.sum(1) >= least_words)).tolist():
+                    near[i] = any(a <= middle < b for a, b in _aligned(same[i], percent, least_words))
+            linked = np.unique(fp[~first][near])
+            yield from ((int(x), int(fp[0])) for x in linked.view(np.int64).tolist())
+            stay = ~first & ~np.isin(fp, linked)
+            fp, around = fp[stay], around[stay]
+
+    def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(key: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            fp, around = (np.concatenate(c) for c in zip(*parts, strict=True))
+            out = list(links_of(fp, around))
+            x = np.array([o[0] for o in out], np.int64)
+            y = np.array([o[1] for o in out], U64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(out), key, np.int64))], names=["x", "y", "key"])
+
+        whose, parts = None, []
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64)
+            around = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, 2 * AROUND + size)
+            bound = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
+            for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+                if parts and key[a] != whose:
+                    yield rows(whose, parts)
+                    parts = []
+                whose = int(key[a])
+                parts.append((fp[a:b], around[a:b]))
+        if parts:
+            yield rows(whose, parts)
+
+    return left.select("key", "x", "around").repartition("key").sortWithinPartitions("key").mapInArrow(elect, "x long, y long, key long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, settings: tuple, most: int = 256) -> DataFrame:
-    """The passages that x and y of each pair share."""
+    """The passages that x and y of each pair share; and, with a key, those of its `keys` (all if null) that they share outside passages."""
     size, radius, bands, percent, least_words = settings
     pairs = scratch.keep(pairs, "pairs")
     many = scratch.keep(pairs.groupBy("y").agg((F.count("*") / most).cast("int").alias("deal")), "many")
-    dealt = scratch.keep(pairs.join(many, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("deal") + 1).cast("int").alias("run")), "dealt")
-    ours = dealt.select("y", "run").distinct().select("y", "run", F.lit(0).alias("other"), F.col("y").alias("fp"))
-    met = ours.unionByName(dealt.select("y", "run", F.lit(1).alias("other"), F.col("x").alias("fp"))).join(texts, "fp")
-    met = met.select("y", "run", "other", "fp", "text").repartition("y", "run").sortWithinPartitions("y", "run", "other", "fp")
+    dealt = scratch.keep(pairs.join(many, "y").select("x", "y", "keys", F.pmod(F.xxhash64("x"), F.col("deal") + 1).cast("int").alias("run")), "dealt")
+    ours = dealt.select("y", "run").distinct().select("y", "run", F.lit(0).alias("other"), F.col("y").alias("fp"), F.lit(None).cast("array<long>").alias("keys"))
+    met = ours.unionByName(dealt.select("y", "run", F.lit(1).alias("other"), F.col("x").alias("fp"), "keys")).join(texts, "fp")
+    met = met.select("y", "run", "other", "fp", "text", "keys").repartition("y", "run").sortWithinPartitions("y", "run", "other", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -250,11 +311,21 @@ def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, settings: tup
                         whose, mine = y[at], own.copy()
                         of_mine = keys(mine, anchors(mine, np.zeros(len(mine), np.int64), size, radius), size, bands)
                     elif whose == y[at]:
-                        out += [(int(fp[at]), a, n, int(whose), b, m) for a, n, b, m in common(own, mine, size, radius, bands, percent, least_words, of_mine)]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()) * 2, strict=True)], names=["x", "x_start", "x_words", "y", "y_start", "y_words"])
-
-    return met.mapInArrow(compare, _PASSAGE)
+                        x = int(fp[at])
+                        spans, key, place = compared(own, mine, size, radius, bands, percent, least_words, of_mine)
+                        out += [(x, a, n, int(whose), b, m, None, None) for a, n, b, m in spans]
+                        if batch.column(5)[at].is_valid:
+                            wanted = np.isin(key, np.array(batch.column(5)[at].as_py(), np.int64).view(U64))
+                            key, place = key[wanted], place[wanted]
+                        if len(key):  # beyond the ends of a text stands what no other text has
+                            ends = mix(np.array([x], np.int64).view(U64) + np.arange(2 * AROUND, dtype=U64))
+                            wide = np.concatenate([ends[:AROUND], own, ends[AROUND:]]).astype(np.uint32)
+                            out += [(x, None, None, int(whose), None, None, k, wide[p : p + 2 * AROUND + size].tobytes()) for k, p in zip(key.view(np.int64).tolist(), place.tolist(), strict=True)]
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (*(pa.int64(), pa.int32(), pa.int32()) * 2, pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["x", "x_start", "x_words", "y", "y_start", "y_words", "key", "around"])
+
+    return met.mapInArrow(compare, f"{_PASSAGE}, key long, around binary")
 
 
 def repeated(docs: DataFrame, scratch: Scratch, *, size: int = 24, radius: int = 6, bands: int = 3, percent: int = 80, least_words: int = 40, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -283,8 +354,22 @@ def repeated(docs: DataFrame, scratch: Scratch, *, size: int = 24, radius: int =
 
     texts = named.mapInArrow(first, "fp long, text string").join(needed, "fp", "left_semi").dropDuplicates(["fp"])
     texts = scratch.keep(texts, "texts")
-    found = scratch.keep(verified(pairs, texts, scratch, (size, radius, bands, percent, least_words)), "found")
-    scratch.drop("links", "distinct", "needed", "texts", "pairs", "dealt", "many")
+    settings = (size, radius, bands, percent, least_words)
+    met = scratch.keep(verified(pairs.withColumn("keys", F.lit(None).cast("array<long>")), texts, scratch, settings), "met-0")
+    found = met.where("key is null").drop("key", "around")
+    # texts that share a key but no passage with its leader: with the leader's own, and with new leaders until none is left
+    left = met.where("key is not null")
+    higher = pairs.select(F.col("x").alias("y"), F.col("y").alias("z"))
+    again = elected(left, size, percent, least_words).unionByName(left.select("x", "y", "key").join(higher, "y").select("x", F.col("z").alias("y"), "key"))
+    for n in itertools.count(1):
+        again = scratch.keep(again.groupBy("x", "y").agg(F.collect_set("key").alias("keys")), f"again-{n}")
+        if again.isEmpty():
+            break
+        met = scratch.keep(verified(again, texts, scratch, settings), f"met-{n}")
+        found = found.unionByName(met.where("key is null").drop("key", "around"))
+        again = elected(met.where("key is not null"), size, percent, least_words)
+    found = scratch.keep(found.distinct(), "found")
+    scratch.drop("links", "distinct", "needed", "texts", "pairs", "dealt", "many", "met-0", f"again-{n}", *(f"{name}-{i}" for i in range(1, n) for name in ("met", "again")))
     return rows, found
 
 

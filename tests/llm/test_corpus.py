@@ -122,6 +122,26 @@ def test_passages_with_a_word_changed_or_put_in(spark):
     assert np.mean([found(seed, 60, True) for seed in range(100)]) > 0.85
 
 
+def test_passages_are_found_although_the_leader_has_too_little_of_them(spark):
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    passage = prose(1218, 56).split()
+    texts = [" ".join([prose(701, 60), *passage[9:47], prose(702, 60)])]  # 38 words
+    texts += [" ".join([prose(703 + 2 * n, 60), *passage, prose(704 + 2 * n, 60)]) for n in range(4)]
+    schema = StructType().add("doc_id", LongType()).add("text", StringType())
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], schema)
+    hashes = {r["doc_id"]: r["h"] % 2**64 for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    short = next(f" s{n}" for n in range(10**6) if spark_least(spark, texts[0] + f" s{n}") < min(hashes[i] for i in range(1, 5)))
+    docs = spark.createDataFrame([(0, texts[0] + short), *((n, t) for n, t in enumerate(texts) if n)], schema)
+    found = {(r["doc_id"], r["removed"]) for r in passages.find(docs).collect()}
+    assert {i for i, removed in found if removed} | {i for i, removed in found if not removed} == {1, 2, 3, 4}
+    assert len([i for i, removed in found if removed]) == 3
+
+
+def spark_least(spark, text):
+    return spark.sql("SELECT xxhash64(:t) AS h", args={"t": text}).first()["h"] % 2**64
+
+
 def test_passages_edge_cases(odd, none):
     rows = passages.find(odd).collect()
     assert {r["doc_id"] for r in rows} == {4, None}
