@@ -171,6 +171,15 @@ def _report(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
     return docs.mapInArrow(scan, f"{kinds}, n_words long, n_hit long, items array<string>, spans array<struct<word: long, words: long, byte: long, bytes: long>>"), shared
 
 
+#: Sorted spans of several passes as maximal ones.
+_JOINED = """aggregate(spans, cast(array() as array<struct<word: bigint, words: bigint, byte: bigint, bytes: bigint>>), (done, s) -> if(
+    size(done) > 0 and element_at(done, -1).word + element_at(done, -1).words >= s.word,
+        concat(slice(done, 1, size(done) - 1), array(named_struct(
+        'word', element_at(done, -1).word, 'words', greatest(element_at(done, -1).words, s.word + s.words - element_at(done, -1).word),
+        'byte', element_at(done, -1).byte, 'bytes', greatest(element_at(done, -1).bytes, s.byte + s.bytes - element_at(done, -1).byte)))),
+        concat(done, array(s))))"""
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, gram: int = 5, window: int = 10, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids with an occurring window), spans (maximal runs of hit words and their bytes)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -188,13 +197,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, gram: int = 5, window: i
         merged = part if merged is None else merged.unionByName(part)
     merged = merged.groupBy("k1", "k2", "k3").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     base = base.join(merged, ["k1", "k2", "k3"], "left")
-    joined = F.expr("""aggregate(spans, cast(array() as array<struct<word: bigint, words: bigint, byte: bigint, bytes: bigint>>), (done, s) -> if(
-        size(done) > 0 and element_at(done, -1).word + element_at(done, -1).words >= s.word,
-        concat(slice(done, 1, size(done) - 1), array(named_struct(
-            'word', element_at(done, -1).word, 'words', greatest(element_at(done, -1).words, s.word + s.words - element_at(done, -1).word),
-            'byte', element_at(done, -1).byte, 'bytes', greatest(element_at(done, -1).bytes, s.byte + s.bytes - element_at(done, -1).byte)))),
-        concat(done, array(s))))""")
-    out = base.withColumn("spans", F.coalesce(joined, F.array())).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.words)"))
+    out = base.withColumn("spans", F.coalesce(F.expr(_JOINED), F.array())).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.words)"))
     return out.select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
@@ -207,14 +210,22 @@ def remove_hits(docs: DataFrame, items: DataFrame, *, most_share: float = 0.5, t
     scratch = Scratch(docs.sparkSession)
     packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), whole_row(docs).alias("row"))
     passes, indexes = _indexes(items, settings.get("gram", 5), settings.get("window", 10), settings.get("most_bytes", 64 << 20), settings.get("item_col", "item_id"), settings.get("item_text_col", "text"))
-    for n, index in enumerate(indexes):  # one pass for each part of the items; a later one sees what the earlier have left
-        report, shared = _report(packed, index)
-        found = report.where(F.col("n_hit") <= most_share * F.col("n_words"))
-        kept = F.expr("""decode(unhex(array_join(transform(sequence(0, size(spans)), i -> hex(substring(cast(text as binary),
-            cast(if(i = 0, 0L, spans[i - 1].byte + spans[i - 1].bytes) as int) + 1,
-            cast(if(i = size(spans), octet_length(text), spans[i].byte) - if(i = 0, 0L, spans[i - 1].byte + spans[i - 1].bytes) as int)))), '')), 'UTF-8')""")
-        packed = found.withColumn("text", F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text"))).select("doc_id", "text", "row")
-        if passes > 1:
-            packed = scratch.keep(packed, f"pass-{n}")
+    if passes == 1:
+        report = _report(packed, next(indexes))[0]
+    else:  # the spans of all parts of the items, each found in the whole text
+        key = [F.xxhash64("text").alias("k1"), F.coalesce(F.length("text"), F.lit(-1)).alias("k2")]
+        base = merged = None
+        for n, index in enumerate(indexes):
+            report, shared = _report(packed, index)
+            base = scratch.keep(report.select("text", "row", "n_words", *key), "base") if base is None else base
+            part = scratch.keep(report.where("n_hit > 0").select(*key, "spans"), f"hits-{n}")
             shared.destroy()
-    return packed.select(*restored(docs, **{text_col: F.col("text")}))
+            merged = part if merged is None else merged.unionByName(part)
+        merged = merged.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")).withColumn("spans", F.expr(_JOINED))
+        report = base.join(merged, ["k1", "k2"], "left").withColumn("n_hit", F.coalesce(F.expr("aggregate(spans, 0L, (n, s) -> n + s.words)"), F.lit(0)))
+    found = report.where(F.col("n_hit") <= most_share * F.col("n_words"))
+    kept = F.expr("""decode(unhex(array_join(transform(sequence(0, size(spans)), i -> hex(substring(cast(text as binary),
+        cast(if(i = 0, 0L, spans[i - 1].byte + spans[i - 1].bytes) as int) + 1,
+        cast(if(i = size(spans), octet_length(text), spans[i].byte) - if(i = 0, 0L, spans[i - 1].byte + spans[i - 1].bytes) as int)))), '')), 'UTF-8')""")
+    found = found.withColumn("text", F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text")))
+    return found.select(*restored(docs, **{text_col: F.col("text")}))

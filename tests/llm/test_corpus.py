@@ -194,6 +194,16 @@ def test_several_passes_give_the_same(spark, sf_dir):
     assert once == many and any("Row(word=" in r for r in once)
 
 
+def test_removal_in_several_passes_gives_what_one_pass_gives(spark):
+    words = prose(900, 200).split()
+    items = spark.createDataFrame([(f"i{n}", " ".join(words[n : n + 30])) for n in range(0, 160, 10)], "item_id string, text string")
+    rows = [(1, " ".join([prose(901, 200), *words[:80], prose(902, 200)])), (2, " ".join([prose(903, 100), *words[20:170]])), (3, prose(904, 50)), (4, None)]
+    rows += [(5, " ".join([*words[20:50], prose(905, 30), *words[100:130], prose(906, 10)]))]  # 60 of 100 words
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once, many = (sorted(map(str, decontamination.remove_hits(docs, items, most_bytes=b).collect())) for b in (1 << 26, 900))
+    assert once == many and len(once) == 3
+
+
 def test_winnowing_meets_every_shared_span():
     r = np.random.default_rng(5)
     span = r.integers(0, 1 << 63, 10).astype(np.uint64)
