@@ -2,9 +2,9 @@
 
 Pieces are dealt at random into buckets of about `bucket_pieces`, which are
 packed apart: best-fit decreasing first, then local search between the bins
-that are not full.  The search moves one document, exchanges one for one, or
-two for one, whenever that raises the sum of squared fills, so the emptiest
-bins drain and vanish.  Bins that stay underfull are opened once more and
+that are not full.  The search moves one document or two, or exchanges them for one or
+two, until that raises the sum of squared fills no more or no bin fewer is
+possible, so the emptiest bins drain and vanish.  Bins that stay underfull are opened once more and
 packed again over several buckets together.
 
 Nulls and repeats: a null text is an empty one (one piece holding the end id);
@@ -161,57 +161,87 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(full: list[int], empty: list[int], room: int, size: np.ndarray) -> tuple[list[int], list[int]] | None:
-    """(out of the fuller bin, out of the emptier): the exchange that fills the fuller one most within its room."""
-    best, found = 0, None
-    singles = sorted((int(size[i]), i) for i in empty)
-    pairs = sorted((a + b, i, j) for n, (a, i) in enumerate(singles) for b, j in singles[n + 1 :])
-    sums = [s for s, _ in singles], [s for s, *_ in pairs]
-    outs = [(0, [])] + [(int(size[i]), [i]) for i in full]
-    for gone, out in outs:
-        for kind, items in enumerate((singles, pairs)):
-            at = bisect.bisect_right(sums[kind], gone + room) - 1
-            if at >= 0 and sums[kind][at] - gone > best:
-                best, found = sums[kind][at] - gone, (out, list(items[at][1:]))
-    for n, i in enumerate(full):  # two of the fuller bin for one of the emptier
-        for j in full[n + 1 :]:
-            gone = int(size[i] + size[j])
-            at = bisect.bisect_right(sums[0], gone + room) - 1
-            if at >= 0 and sums[0][at] - gone > best:
-                best, found = sums[0][at] - gone, ([i, j], [singles[at][1]])
-    return found
-
-
-def _drained(low: int, under: list[int], bins: list[list[int]], fill: list[int], lengths: np.ndarray, limit: int, near: int) -> bool:
-    """Moves what helps from a bin to fuller ones; whether anything moved."""
-    moved = False
-    fuller = [n for n in under if n != low and fill[n] >= fill[low]]
-    for high in fuller[: -near - 1 : -1] + fuller[:near]:
-        while bins[low] and fill[high] >= fill[low] and (found := _exchange(bins[high], bins[low], limit - fill[high], lengths)):
-            out, into = found
-            for source, target, items in ((high, low, out), (low, high, into)):
-                for item in items:
-                    bins[source].remove(item)
-                    bins[target].append(item)
-            gain = int(lengths[into].sum()) - (int(lengths[out].sum()) if out else 0)
-            fill[high], fill[low], moved = fill[high] + gain, fill[low] - gain, True
-    return moved
-
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds: int = 40, near: int = 60, lows: int = 3) -> list[list[int]]:
+class _Room:
+    """What each bin could give up, nothing to two items, and the room it would then have; one slot of flat arrays a bin."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, limit: int) -> None:
+        self.bins, self.lengths, self.limit = bins, lengths, limit
+        self.lay([0] * len(bins))
+
+    def lay(self, wanted: list[int]) -> None:
+        slots = [max(w, 2 * (1 + len(b) + len(b) * (len(b) - 1) // 2)) for w, b in zip(wanted, self.bins, strict=True)]
+        self.start = np.append(0, np.cumsum(slots))
+        self.owner = np.repeat(np.arange(len(slots)), slots)
+        self.gone, self.room = np.zeros(self.start[-1], np.int64), np.full(self.start[-1], -1)
+        for n in range(len(self.bins)):
+            self.put(n)
+
+    def sums(self, n: int) -> np.ndarray:
+        size = self.lengths[self.bins[n]]
+        i, j = np.triu_indices(len(size), 1)
+        return np.concatenate([size, size[i] + size[j]])
+
+    def items(self, n: int, total: int) -> list[int]:
+        """One or two items of a bin, or none, of that total length."""
+        seen: dict[int, int] = {}
+        for item in self.bins[n]:
+            size = int(self.lengths[item])
+            if size == total:
+                return [item]
+            if total - size in seen:
+                return [seen[total - size], item]
+            seen[size] = item
+        return []
+
+    def put(self, n: int) -> None:
+        out = np.append(0, self.sums(n)) if self.bins[n] else np.zeros(0, np.int64)
+        begin, end = int(self.start[n]), int(self.start[n + 1])
+        if len(out) > end - begin:
+            self.lay([2 * len(out) if n == m else int(w) for m, w in enumerate(np.diff(self.start))])
+            return
+        self.room[begin:end] = -1
+        self.gone[begin : begin + len(out)] = out
+        if len(out):
+            self.room[begin : begin + len(out)] = out + self.limit - int(self.lengths[self.bins[n]].sum())
+
+    def best(self, low: int, fill: np.ndarray) -> tuple[int, int, int] | None:
+        """(fuller bin, length out of it, length into it): the exchange with `low` that fills a fuller bin most."""
+        sums = np.append(0, np.unique(self.sums(low)))
+        gain = sums[np.maximum(np.searchsorted(sums, self.room, "right") - 1, 0)] - self.gone
+        gain[(self.room < 0) | (fill[self.owner] < fill[low])] = 0
+        gain[self.start[low] : self.start[low + 1]] = 0
+        at = int(gain.argmax())
+        return (int(self.owner[at]), int(self.gone[at]), int(gain[at] + self.gone[at])) if gain[at] > 0 else None
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list[list[int]]:
     """Raises the sum of squared fills by moves and exchanges until no bin fewer is possible or nothing helps."""
     least = -(-int(lengths.sum()) // limit)
-    fill = [int(lengths[b].sum()) for b in bins]
-    for _ in range(rounds):
-        live = [n for n in range(len(bins)) if bins[n]]
-        if len(live) <= least:
-            break
-        under = sorted((n for n in live if fill[n] < limit), key=lambda n: fill[n])
-        if not under:
-            break
-        if not any(_drained(low, under, bins, fill, lengths, limit, near) for low in under[:lows]):
-            break
-    return [b for b in bins if b]
+    under = [list(b) for b in bins if int(lengths[b].sum()) < limit]
+    full = [b for b in bins if int(lengths[b].sum()) >= limit]
+    least -= len(full)
+    fill = np.array([int(lengths[b].sum()) for b in under], np.int64)
+    left = len(under)
+    moved = left > least
+    room = _Room(under, lengths, limit) if moved else None
+    while moved and left > least:
+        moved = False
+        for low in np.argsort(fill, kind="stable").tolist():
+            while under[low] and fill[low] < limit and (found := room.best(low, fill)):
+                high, out, into = found
+                given, taken = room.items(high, out), room.items(low, into)
+                for source, target, items in ((high, low, given), (low, high, taken)):
+                    for item in items:
+                        under[source].remove(item)
+                        under[target].append(item)
+                fill[high], fill[low], moved = fill[high] + into - out, fill[low] + out - into, True
+                room.put(high)
+                room.put(low)
+            if not under[low] and fill[low] == 0:
+                left = sum(map(bool, under))
+                if left <= least:
+                    break
+    return full + [b for b in under if b]
 
 
 def _packed(frame: pd.DataFrame, limit: int, settle: int) -> pd.DataFrame:

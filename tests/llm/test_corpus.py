@@ -280,6 +280,12 @@ def test_local_search_drains_bins():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7)) and all(lengths[b].sum() <= 10 for b in bins)
 
 
+def test_local_search_goes_on_until_nothing_helps():
+    lengths = np.random.default_rng(1).integers(500, 801, 2048)
+    bins = packing.local_search(packing.best_fit_decreasing(lengths, 2048), lengths, 2048)
+    assert len(bins) <= 680 and sorted(i for b in bins for i in b) == list(range(2048)) and all(lengths[b].sum() <= 2048 for b in bins)
+
+
 # --- 7 language
 def test_language_spans(spark):
     rows = [(n, prose(n, 30), "x") for n in range(30)] + [(n, " ".join(w[::-1] for w in prose(n, 30).split()), "y") for n in range(30, 60)]
