@@ -180,10 +180,14 @@ def checks_io_only(signals: Column) -> Column:
 def risk_score(text: Column) -> Column:
     """How risky a prompt looks, from 0 to 1 in thousandths."""
     t = F.trim(or_empty(text))
+    low = F.lower(t)
     parts = []
-    for once, more, pattern in P.RISKS.values():
+    for name, (once, more, pattern) in P.RISKS.items():
+        possible = reduce(lambda a, b: a & b, [any_of(low.contains(x) for x in some) for some in P.RISK_LITERALS[name]])
         hits = F.regexp_count(t, F.lit(pattern))
-        parts.append(F.when(hits > 0, once + more * F.least(hits, F.lit(2))).otherwise(0.0))
+        # literals are looked for first, so most texts meet no pattern; hits are counted once
+        some_hits = F.when(possible, F.least(hits, F.lit(2))).otherwise(0)
+        parts.append(F.element_at(F.array(F.lit(0.0), F.lit(once + more), F.lit(once + 2 * more)), some_hits + 1))
     parts += [F.when(has(t, p), weight).otherwise(0.0) for weight, p in P.SHAPES.values()]
     total = reduce(lambda a, b: a + b, parts) - F.when(has(t, P.DEFUSER[1]), P.DEFUSER[0]).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 3)))

@@ -62,6 +62,16 @@ RISKS = {
     "copyright": (0.4, 0.15, r"(?i)\b(copy(right(ed)?|paste)|verbatim|proprietary|internal\s+code|license)\b"),
     "tenant": (0.4, 0.15, r"(?i)\b(cross[-\s]?tenant|other\s+tenant|outside\s+(workspace|org|boundary))\b"),
 }
+#: Literals in lower case of which a hit of each risk pattern holds one of every group; texts without them need no pattern.
+RISK_LITERALS = {
+    "pii": [("ssn", "security", "passport", "license", "mrn", "record", "npi")],
+    "secrets": [("token", "api", "password", "secret", "bearer")],
+    "exfil": [("base64", "dump", "decode", "decrypt", "extract", "deobfuscat")],
+    "bypass": [("bypass", "disable", "off", "override", "ignore"), ("guard", "safety", "policy", "filter", "auth", "validation")],
+    "med_claims": [("diagnos", "treat", "prescrib", "dose", "protocol", "contraindication")],
+    "copyright": [("copy", "verbatim", "proprietary", "internal", "license")],
+    "tenant": [("tenant", "outside")],
+}
 #: Shapes of secrets: what each adds once.
 SHAPES = {"ssn": (0.7, r"\b\d{3}-\d{2}-\d{4}\b"), "hex": (0.4, r"\b[0-9A-Fa-f]{32,}\b"), "base64": (0.4, r"\b[a-zA-Z0-9+/]{40,}={0,2}\b")}
 DEFUSER = (0.2, r"(?i)\b(example|sample|demo|mock|placeholder|lorem|ipsum)\b")

@@ -9,6 +9,8 @@ close pairs are ever shuffled, never a block as a whole.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +51,37 @@ def block_key(doc: Column, *slots: Column, doc_as_block: bool = True) -> Column:
     return F.concat_ws("\x1f", F.lower(or_empty(doc)) if doc_as_block else F.lit(""), *[F.array_join(F.array_sort(s), "\x1e") for s in slots])
 
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def similar_pairs(items: DataFrame, threshold: float, *, seq: str = "seq", block: str = "block", vector: str = "vector", tile: int = 1024) -> DataFrame:
+    """a, b, block, sim of the pairs of a block at or above the threshold; a null vector, or one of length 0, is like none.
 
-
-def similar_pairs(items: DataFrame, threshold: float, *, seq: str = "seq", block: str = "block", vector: str = "vector") -> DataFrame:
-    """a, b, sim of the pairs of a block at or above the threshold; a vector of length 0 is like none."""
-    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    unit = items.select(F.col(seq).alias("seq"), F.col(block).alias("block"), F.transform(vector, lambda x: x.cast("double") / norm).alias("unit")).where(norm > 0)
-    a, b = unit.alias("a"), unit.alias("b")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.seq") < F.col("b.seq")))
-    met = met.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), F.col("a.block").alias("block"), dot(F.col("a.unit"), F.col("b.unit")).alias("sim"))
-    return met.where(F.col("sim") >= threshold)
+    A block of more than `tile` items is cut into tiles by hash, and each pair
+    of tiles is a group of its own, so a hot block spreads over many tasks and
+    no task holds more than two tiles.  A group is one product of matrices.
+    """
+    given = items.select(F.col(seq).alias("seq"), F.col(block).alias("block"), F.transform(vector, lambda x: x.cast("double")).alias("vector")).where("seq is not null and block is not null and vector is not null")
+    sizes = given.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    cut = given.join(sizes, "block").withColumn("mine", F.pmod(F.xxhash64("seq"), "tiles").cast("int"))
+    # a tile meets itself once, and each other tile once
+    met = cut.select("block", "seq", "vector", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    met = met.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).select("block", "low", "high", "mine", "seq", "vector")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        units = np.array(frame["vector"].tolist(), np.float64).reshape(len(frame), -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            units = units / np.sqrt((units * units).sum(1, keepdims=True))
+        frame, units = frame[np.isfinite(units).all(1)], units[np.isfinite(units).all(1)]
+        name, own = frame["seq"].to_numpy(), (frame["mine"] == frame["low"]).to_numpy()
+        alone = len(frame) > 0 and frame["low"].iat[0] == frame["high"].iat[0]
+        x, y = (np.arange(len(frame)),) * 2 if alone else (np.flatnonzero(own), np.flatnonzero(~own))
+        sim = units[x] @ units[y].T
+        i, j = np.nonzero(sim >= threshold)
+        first, second, sim = name[x[i]], name[y[j]], sim[i, j]
+        keep = first < second if alone else np.ones(len(first), bool)
+        low, high = np.minimum(first, second)[keep], np.maximum(first, second)[keep]
+        return pd.DataFrame({"a": low, "b": high, "block": frame["block"].iloc[0] if len(frame) else None, "sim": sim[keep]})
+
+    kind, of_block = (given.schema[c].dataType.simpleString() for c in ("seq", "block"))
+    return met.groupBy("block", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}, block {of_block}, sim double")
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -70,8 +91,8 @@ def greedy(pairs: DataFrame) -> DataFrame:
     longest chain of ever later neighbours, not with the rows.
     """
     ensure_checkpoints(pairs.sparkSession)
-    todo = pairs.select("a", "b").distinct().checkpoint()
-    gone = None
+    close = pairs.select("a", "b").distinct().checkpoint()  # the join of all pairs runs once
+    todo, gone = close, None
     while not todo.isEmpty():
         later = todo.select(F.col("b").alias("n")).distinct()
         kept = todo.select(F.col("a").alias("n")).distinct().join(later, "n", "left_anti")
@@ -81,7 +102,7 @@ def greedy(pairs: DataFrame) -> DataFrame:
     if gone is None:
         return pairs.select("b", F.col("a").alias("kept")).limit(0)
     # an item goes in the round of its first kept neighbour that is decided; an earlier one may be decided later
-    everyone = pairs.select("a", "b").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
+    everyone = close.join(gone.select(F.col("b").alias("a")), "a", "left_anti")
     return everyone.join(gone.select("b"), "b", "left_semi").groupBy("b").agg(F.min("a").alias("kept"))
 
 

@@ -13,15 +13,18 @@ def toc_paths(toc: DataFrame) -> DataFrame:
     """doc_id, page, path: each entry's titles from level 1 down; of entries on one page the last.
 
     The path of an entry is, for each level up to its own, the last title of
-    that level since a title of a higher one.
+    that level since a title of a higher one: a stack, for any number of levels.
     """
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    top = 6
-    rows = toc
-    for n in range(1, top + 1):
-        rows = rows.withColumn(f"t{n}", F.last(F.when(F.col("level") <= n, F.struct(F.when(F.col("level") == n, F.col("title")).alias("title"))), ignorenulls=True).over(order)["title"])
-    path = F.filter(F.array(*[F.when(F.col("level") >= n, F.col(f"t{n}")) for n in range(1, top + 1)]), lambda x: x.isNotNull())
-    return rows.groupBy("doc_id", "page").agg(F.max_by(path, "seq").alias("path"))
+    entries = toc.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "page", "level", "title"))).alias("e"))
+    walked = F.expr("""aggregate(e,
+        named_struct('open', cast(array() as array<struct<level: int, title: string>>), 'out', cast(array() as array<struct<seq: bigint, page: int, path: array<string>>>)),
+        (a, x) -> named_struct(
+            'open', array_append(filter(a.open, s -> s.level < x.level), named_struct('level', cast(x.level as int), 'title', x.title)),
+            'out', array_append(a.out, named_struct('seq', cast(x.seq as bigint), 'page', cast(x.page as int),
+                'path', array_append(transform(filter(a.open, s -> s.level < x.level), s -> s.title), x.title)))),
+        a -> a.out)""")
+    rows = entries.select("doc_id", F.explode(walked).alias("r")).select("doc_id", "r.*")
+    return rows.groupBy("doc_id", "page").agg(F.max_by("path", "seq").alias("path"))
 
 
 def heading_starts(spans: DataFrame) -> DataFrame:
@@ -48,14 +51,16 @@ def lines(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.select("doc_id", "page", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", strip(F.col("line")))
 
 
-def repeating(page_lines: DataFrame, page_count: int) -> DataFrame:
-    """doc_id, line_hash, times of lines that come often on the first pages: headers and footers.
+def repeating(page_lines: DataFrame) -> DataFrame:
+    """doc_id, line_hash, times of lines that come often on a document's first pages: headers and footers.
 
-    Counts occurrences, not pages, over the first ten pages at most.
+    Counts occurrences, not pages, over the first ten pages at most; the limit
+    follows each document's own number of pages.
     """
-    n = min(10, page_count)
-    often = page_lines.where((F.col("page") < n) & (F.col("line") != "")).groupBy("doc_id", sha8(F.col("line")).alias("line_hash")).agg(F.count("*").alias("times"))
-    return often.where(F.col("times") >= max(2, n // 2))
+    pages = page_lines.groupBy("doc_id").agg(F.least(F.lit(10), F.max("page") + 1).alias("n"))
+    often = page_lines.where((F.col("page") < 10) & (F.col("line") != "")).groupBy("doc_id", "page", sha8(F.col("line")).alias("line_hash")).agg(F.count("*").alias("times"))
+    often = often.join(pages, "doc_id").where("page < n").groupBy("doc_id", "line_hash", "n").agg(F.sum("times").alias("times"))
+    return often.where(F.col("times") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2))).drop("n")
 
 
 def without_repeating(page_lines: DataFrame, often: DataFrame) -> DataFrame:

@@ -68,9 +68,13 @@ def candidates(spans: DataFrame, *, keep_informative: bool = False, include_tabl
     rows = rows.withColumn("normative", normative)
     kept = F.col("type").isin(*C.CORE_TYPES) | ((F.col("type") == "definition") & F.col("normative"))
     rows = rows.where(kept & ~((F.col("type") == "prohibition") & ~C.has(text, P.ACTOR))).withColumn("severity", C.clause_severity(text))
-    first = Window.partitionBy(sha8(text), "type", "severity", "normative").orderBy("bucket_seq", "place")
-    return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(
+    rows = rows.select(
         "seq", "span_id", "doc_id", "section_path", "page", "text", "context_prev", "context_next", "type", "severity", "cues",
         C.cross_references(text).alias("cross_refs"), C.has(text, P.JURISDICTION).alias("jurisdictional"), C.deadline(text).alias("deadline"),
         C.threshold(text).alias("threshold"), "normative", "inherited_from", C.confidence(text, F.col("type"), F.size("cues"), F.col("normative")).alias("confidence"),
+        sha8(text).alias("_hash"), F.struct("bucket_seq", "place").alias("_place"),
     )
+    # an aggregate, not a window: copies of one text are reduced before they are shuffled
+    names = [c for c in rows.columns if c[0] != "_"]
+    first = rows.groupBy("_hash", "type", "severity", "normative").agg(F.min_by(F.struct(*names), "_place").alias("r"))
+    return first.select("r.*")

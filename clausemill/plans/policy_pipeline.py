@@ -1,4 +1,4 @@
-"""Spans to candidates, rules, cleaned rules, testability tags, examples and the enforcement table.
+"""Spans to candidates, rules, cleaned rules (structural, then semantic dedup), testability tags, examples and the enforcement table.
 
 Every stage is checkpointed before the next reads it, so models are asked once.  Outputs are frames; writing them to files is the caller's choice.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonrules as J
-from ..functions.text import clause_text, rule_hash, stable_id
+from ..functions.text import clause_text, rule_hash, semantic_string, stable_id
 from ..lineage import ensure_checkpoints
 from ..operators import dedup, guard, mining, rules
 from ..providers import request
@@ -56,16 +56,47 @@ def examples(tagged: DataFrame, provider, n: int = 5) -> DataFrame:
     return asked.withColumn("examples", J.parse_examples(F.col("raw"), n)).drop("raw", "error")
 
 
-def run(spark: SparkSession, spans: DataFrame, provider, *, mine: bool = True, strict: bool = False, target_n: int = 5, keep_informative: bool = False, include_tables: bool = False, ctx_window: int = 2) -> dict[str, DataFrame]:
-    """All stages; the result names each stage's frame."""
+def deduplicated(extracted: DataFrame, *, strict: bool = False, embed=None, threshold: float = 0.85, doc_block: bool = True, preview: int = 0) -> dict[str, DataFrame]:
+    """cleaned, duplicates, provenance and, with `preview`, the likest pairs.
+
+    `embed` maps seq, text to seq, vector and turns semantic dedup on: of the
+    rules that structural dedup keeps, one goes where an earlier kept rule of
+    its block is at least `threshold` similar.
+    """
+    structured = dedup.structural(extracted.where("error is null and size(issues) = 0"), strict=strict).checkpoint()
+    kept = rules.distinct_payloads(structured.where("rule_id = kept_rule_id"), F.col("rule_id")).drop("kept_rule_id", "signature")
+    gone = structured.where("rule_id <> kept_rule_id").select(F.col("rule_id").alias("duplicate_rule_id"), "kept_rule_id")
+    led = dedup.provenance(structured)
+    out = {"cleaned": kept, "duplicates": gone, "provenance": led}
+    if embed is None:
+        return out
+    f = rules.fields()
+    kept = kept.checkpoint()
+    texts = kept.select("seq", semantic_string(f).alias("text"), dedup.block_key(f["doc"], *[f[c] for c in rules.SLOTS], doc_as_block=doc_block).alias("block"))
+    pairs = dedup.similar_pairs(texts.select("seq", "block").join(embed(texts.select("seq", "text")), "seq"), threshold).checkpoint()
+    dropped = dedup.greedy(pairs).checkpoint()
+    names = kept.select("seq", "rule_id")
+    merged = dropped.join(names.toDF("b", "duplicate_rule_id"), "b").join(names.toDF("kept", "kept_rule_id"), "kept").select("duplicate_rule_id", "kept_rule_id").checkpoint()
+    moved = merged.select(F.col("duplicate_rule_id").alias("kept_rule_id"), F.col("kept_rule_id").alias("final"))
+
+    def final(frame: DataFrame) -> DataFrame:
+        return frame.join(moved, "kept_rule_id", "left").withColumn("kept_rule_id", F.coalesce("final", "kept_rule_id")).drop("final")
+
+    out = {"cleaned": dedup.without(kept, dropped), "duplicates": final(gone).select("duplicate_rule_id", "kept_rule_id").unionByName(merged), "provenance": final(led).select("kept_rule_id", "span_id").distinct()}
+    if preview:
+        likest = dedup.top_pairs(pairs, dropped, preview)
+        out["pairs"] = likest.join(names.toDF("a", "a_rule_id"), "a").join(names.toDF("b", "b_rule_id"), "b").select("sim", "a_rule_id", "b_rule_id")
+    return out
+
+
+def run(spark: SparkSession, spans: DataFrame, provider, *, mine: bool = True, strict: bool = False, target_n: int = 5, keep_informative: bool = False, include_tables: bool = False, ctx_window: int = 2, embed=None, threshold: float = 0.85, doc_block: bool = True, preview: int = 0) -> dict[str, DataFrame]:
+    """All stages; the result names each stage's frame.  With `embed` dedup is semantic as well."""
     found = mining.candidates(spans, keep_informative=keep_informative, include_tables=include_tables, ctx_window=ctx_window) if mine else mining.passthrough(spans)
     ensure_checkpoints(spark)
     extracted = extract(found, provider).checkpoint()
-    structured = dedup.structural(extracted.where("error is null and size(issues) = 0"), strict=strict).checkpoint()
-    cleaned = structured.where("rule_id = kept_rule_id").dropDuplicates(["rule_id"]).drop("kept_rule_id", "signature")
-    tagged = tag(cleaned, provider).checkpoint()
+    clean = deduplicated(extracted, strict=strict, embed=embed, threshold=threshold, doc_block=doc_block, preview=preview)
+    tagged = tag(clean["cleaned"], provider).checkpoint()
     exemplified = examples(tagged, provider, target_n).checkpoint()
-    return {
-        "candidates": found, "extracted": extracted, "cleaned": cleaned, "duplicates": structured.where("rule_id <> kept_rule_id").select(F.col("rule_id").alias("duplicate_rule_id"), "kept_rule_id"),
-        "provenance": dedup.provenance(structured), "tagged": tagged, "examples": exemplified, "test_cases": guard.test_cases(exemplified), "enforcement": guard.enforcement_table(tagged),
+    return clean | {
+        "candidates": found, "extracted": extracted, "tagged": tagged, "examples": exemplified, "test_cases": guard.test_cases(exemplified), "enforcement": guard.enforcement_table(tagged),
     }

@@ -333,9 +333,9 @@ def _token_sql(x: str) -> str:
     return f"regexp_replace(translate({_strip_sql(plain)}, '_-', '  '), '{_WS}+', ' ', 'g')"
 
 
-@query(sql=f"SELECT doc_id, {_token_sql('text')} AS token FROM (SELECT doc_id, left(text, 60) AS text FROM documents)")
+@query(sql=f"SELECT doc_id, {_token_sql('text')} AS token FROM documents")
 def tok_norm(t: Tables) -> DataFrame:
-    return t["documents"].select("doc_id", T.norm_token(F.left("text", F.lit(60))).alias("token"))
+    return t["documents"].select("doc_id", T.norm_token(F.col("text")).alias("token"))
 
 
 _SINGULAR = "CASE WHEN {0} LIKE '%ies' THEN left({0}, len({0}) - 3) || 'y' WHEN {0} LIKE '%sses' THEN left({0}, len({0}) - 2) WHEN {0} LIKE '%ses' THEN left({0}, len({0}) - 2) WHEN {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, len({0}) - 1) ELSE {0} END"

@@ -9,7 +9,7 @@ from ..functions import classify as C
 from ..functions import jsonrules as J
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import dedup, guard, ingest, metrics, mining, rules
+from ..operators import dedup, guard, ingest, metrics, mining, models, rules
 from ..schema import REQUIRED, SEVERITIES
 from .queries import _CANON, _CONFIDENCE, _CONTEXT_SEVERITY, _CUE_LIST, _HASH, _LOCAL, _MINABLE, _NEGATIVE, _NORMATIVE, _REQ, _REQUIREMENT, _SEVERITY, _TYPE, Tables, _canonical_sql, _has, _j, _norm_sql, _ordered_sql, _phrase_sql, _s, query
 
@@ -38,7 +38,6 @@ def agent_json(t: Tables) -> DataFrame:
     return t.raw.select("seq", J.outer_object(F.col("raw")).alias("object"))
 
 
-_RULE_ROWS = "(SELECT * FROM raw WHERE seq % 8 IN (0, 3, 4, 5))"
 _FIELDS = ", ".join(f"'{c}'" for c in REQUIRED)
 
 
@@ -47,9 +46,9 @@ _FIELDS = ", ".join(f"'{c}'" for c in REQUIRED)
   list_transform(list_filter(json_keys(raw), lambda k: NOT list_contains([{_FIELDS}], k)), lambda k: 'Unknown field: ''' || k || '''')),
   list_filter([CASE WHEN json_extract_string(raw, '$.severity') NOT IN ({', '.join(map(_s, SEVERITIES))}) THEN 'severity ''' || json_extract_string(raw, '$.severity') || ''' is not known' END,
     {', '.join(f"CASE WHEN json_type(raw, '$.{c}') NOT IN ('ARRAY', 'NULL') THEN '''{c}'' must be an array' END" for c in ('conditions', 'exceptions', 'requirements', 'evidence', 'scope.actor', 'scope.data_domain', 'scope.context'))}],
-    lambda x: x IS NOT NULL)), '; ') END AS errors FROM {_RULE_ROWS}""")
+    lambda x: x IS NOT NULL)), '; ') END AS errors FROM raw""")
 def validate_rule(t: Tables) -> DataFrame:
-    return t.raw.where("seq % 8 in (0, 3, 4, 5)").select("seq", _j(J.rule_errors(F.col("raw")), "; ").alias("errors"))
+    return t.raw.select("seq", _j(J.rule_errors(F.col("raw")), "; ").alias("errors"))
 
 
 _VALUES = "CASE p_partkey % 6 WHEN 0 THEN 'null' WHEN 1 THEN '[\"a\",\"b\"]' WHEN 2 THEN '\"provider\"' WHEN 3 THEN '5' WHEN 4 THEN 'plain text' ELSE '[]' END"
@@ -63,16 +62,16 @@ def coerce_array(t: Tables) -> DataFrame:
 
 @query("raw", sql=f"""SELECT seq, CASE WHEN json_valid(raw) THEN coalesce(json_extract_string(raw, '$.hazard'), '') ELSE '' END AS hazard, CASE WHEN json_valid(raw) THEN coalesce(json_extract_string(raw, '$.severity'), 'medium') ELSE 'medium' END AS severity,
   CASE WHEN NOT json_valid(raw) THEN 0 WHEN json_type(raw, '$.requirements') = 'ARRAY' THEN CAST(json_array_length(raw, '$.requirements') AS BIGINT) WHEN json_type(raw, '$.requirements') = 'VARCHAR' THEN 1 ELSE 0 END AS requirements,
-  CASE WHEN json_valid(raw) THEN coalesce(json_extract_string(raw, '$.source.doc'), '') ELSE '' END AS doc FROM {_RULE_ROWS}""")
+  CASE WHEN json_valid(raw) THEN coalesce(json_extract_string(raw, '$.source.doc'), '') ELSE '' END AS doc FROM raw""")
 def fill_defaults(t: Tables) -> DataFrame:
-    r = t.raw.where("seq % 8 in (0, 3, 4, 5)").select("seq", J.filled(F.col("raw")).alias("r"))
+    r = t.raw.select("seq", J.filled(F.col("raw")).alias("r"))
     return r.select("seq", "r.hazard", "r.severity", F.size("r.requirements").cast("long").alias("requirements"), F.col("r.source.doc").alias("doc"))
 
 
 @query("raw", sql="""SELECT seq, CASE WHEN seq % 8 = 4 THEN 'Leak' ELSE '' END AS hazard, CASE WHEN seq % 8 = 4 THEN 'high' ELSE 'medium' END AS severity,
-  CASE WHEN seq % 8 = 4 THEN 'a|b' ELSE '' END AS conditions, CASE WHEN seq % 8 = 4 THEN 'one' ELSE 'r1|r2' END AS requirements, CASE WHEN seq % 8 = 4 THEN 'org' ELSE 'user' END AS actor FROM raw WHERE seq % 8 IN (4, 5)""")
+  CASE WHEN seq % 8 = 4 THEN 'a|b' ELSE '' END AS conditions, CASE seq % 8 WHEN 4 THEN 'one' WHEN 5 THEN 'r1|r2' ELSE '' END AS requirements, CASE seq % 8 WHEN 4 THEN 'org' WHEN 5 THEN 'user' ELSE '' END AS actor FROM raw""")
 def prune_rule(t: Tables) -> DataFrame:
-    r = t.raw.where("seq % 8 in (4, 5)").select("seq", J.pruned(F.col("raw")).alias("r"))
+    r = t.raw.select("seq", J.pruned(F.col("raw")).alias("r"))
     return r.select("seq", "r.hazard", "r.severity", _j("r.conditions").alias("conditions"), _j("r.requirements").alias("requirements"), _j("r.scope.actor").alias("actor"))
 
 
@@ -244,7 +243,11 @@ def greedy_dedup(t: Tables) -> DataFrame:
 
 @query("units", "pairs", recursive=True, sql=f"WITH {_GREEDY}, d AS (SELECT seq AS b, target AS kept FROM g WHERE target IS NOT NULL) SELECT a, b, round(sim, 6) AS sim FROM pairs LEFT JOIN d USING (b) WHERE a NOT IN (SELECT b FROM d) AND (kept IS NULL OR kept >= a) ORDER BY round(pairs.sim, 9) DESC, a, b LIMIT 20")
 def topk_pairs(t: Tables) -> DataFrame:
-    return dedup.top_pairs(t.pairs, dedup.greedy(t.pairs), 20).select("a", "b", F.round("sim", 6).alias("sim"))
+    from ..lineage import ensure_checkpoints
+
+    ensure_checkpoints(t.spark)
+    pairs = t.pairs.checkpoint()
+    return dedup.top_pairs(pairs, dedup.greedy(pairs), 20).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("units", "pairs", recursive=True, sql=f"WITH {_GREEDY} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT seq FROM g WHERE target IS NOT NULL)")
@@ -259,11 +262,11 @@ _NEG1 = "(" + " OR ".join(f"contains(lower(req), {_s(w)})" for w in P.NEGATIVE)
 _SPELT = "replace(req, 'Deployers must-not ship', CASE WHEN seq % 16 = 7 THEN 'Deployers must-not ship' ELSE 'Deployers must not ship' END)"
 
 
-@query("rules", sql=f"WITH x AS (SELECT seq, rule_id, unnest(requirements) AS req FROM rules WHERE seq < 400), z AS (SELECT seq, rule_id, {_SPELT} AS req FROM x), y AS (SELECT *, {_NEG1} AS negative, {_phrase_sql('req')} AS key FROM z) SELECT DISTINCT a.rule_id AS earlier, b.rule_id AS later, a.key AS key FROM y a JOIN y b ON a.key = b.key AND a.negative <> b.negative AND a.seq < b.seq")
+@query("rules", sql=f"WITH x AS (SELECT seq, rule_id, unnest(requirements) AS req FROM rules), z AS (SELECT seq, rule_id, {_SPELT} AS req FROM x), y AS (SELECT *, {_NEG1} AS negative, {_phrase_sql('req')} AS key FROM z) SELECT DISTINCT a.rule_id AS earlier, b.rule_id AS later, a.key AS key FROM y a JOIN y b ON a.key = b.key AND a.negative <> b.negative AND a.seq < b.seq")
 def conflicts(t: Tables) -> DataFrame:
     """Only spellings that normalise alike can conflict, so some rules are spelt with another hyphen."""
     spelt = F.transform("requirements", lambda r: F.when(F.col("seq") % 16 == 7, r).otherwise(F.replace(r, F.lit("Deployers must-not ship"), F.lit("Deployers must not ship"))))
-    return rules.conflicts(t.rules.where("seq < 400").withColumn("requirements", spelt))
+    return rules.conflicts(t.rules.withColumn("requirements", spelt))
 
 
 @query("rules", sql="WITH " + _CONFLICT_ROWS.format(neg=_NEG1, key=_phrase_sql(f"regexp_replace({_phrase_sql('req')}, {_s(rules._POLARITY)}, ' ', 'g')")) + """ SELECT DISTINCT a.rule_id AS earlier, b.rule_id AS later, a.key AS key FROM y a JOIN y b ON a.key = b.key AND a.negative <> b.negative AND a.seq < b.seq
@@ -292,12 +295,12 @@ def _turns(t: Tables) -> DataFrame:
 
 
 def _evaluated(t: Tables) -> DataFrame:
-    table = guard.enforcement_table(t.rules).where("seq <= 200")
+    table = guard.enforcement_table(t.rules)
     return guard.evaluations(_turns(t), table, (F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("rule_seq")) % 23 == 0)
 
 
 _TABLE = f"tab AS (SELECT seq, rule_id, {_REQUIREMENT} AS requirement, coalesce(nullif(lower(severity), ''), 'medium') AS severity FROM rules WHERE len(signals) = 1 AND lower(trim(signals[1])) = 'io_check')"
-_EVALUATED = f"{_TABLE}, ev AS (SELECT conv_id, turn, rule_id, {_RANK} AS severity_rank, seq AS rule_seq, (conv_id * 7 + turn * 3 + seq) % 23 = 0 AS violated FROM conversations, tab WHERE role = 'user' AND seq <= 200)"
+_EVALUATED = f"{_TABLE}, ev AS (SELECT conv_id, turn, rule_id, {_RANK} AS severity_rank, seq AS rule_seq, (conv_id * 7 + turn * 3 + seq) % 23 = 0 AS violated FROM conversations, tab WHERE role = 'user')"
 
 
 @query("rules", sql=f"WITH {_TABLE} SELECT * FROM tab")
@@ -360,13 +363,13 @@ def severity_rank(t: Tables) -> DataFrame:
 
 
 # --- ingest
-@query("blocks", sql="""WITH e AS (SELECT seq, doc_id, page, CAST(1 + seq % 3 AS INT) AS level, 'T' || CAST(seq % 50 AS STRING) AS title FROM blocks WHERE seq % 20 = 1),
-  x AS (SELECT *, max(CASE WHEN level <= 1 THEN seq END) OVER w AS s1, max(CASE WHEN level <= 2 THEN seq END) OVER w AS s2, max(seq) OVER w AS s3 FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
-  p AS (SELECT x.seq, x.doc_id, x.page, array_to_string(list_filter([CASE WHEN x.level >= 1 AND a.level = 1 THEN a.title END, CASE WHEN x.level >= 2 AND b.level = 2 THEN b.title END, CASE WHEN x.level >= 3 AND c.level = 3 THEN c.title END], lambda t: t IS NOT NULL), ' / ') AS path
-    FROM x LEFT JOIN e a ON a.seq = s1 LEFT JOIN e b ON b.seq = s2 LEFT JOIN e c ON c.seq = s3)
+@query("blocks", sql=f"""WITH e AS (SELECT seq, doc_id, page, CAST(1 + seq % 9 AS INT) AS level, 'T' || CAST(seq % 50 AS STRING) AS title FROM blocks WHERE seq % 20 = 1),
+  x AS (SELECT *, {', '.join(f"max(CASE WHEN level <= {n} THEN seq END) OVER w AS s{n}" for n in range(1, 10))} FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+  p AS (SELECT x.seq, x.doc_id, x.page, array_to_string(list_filter([{', '.join(f"CASE WHEN x.level >= {n} AND e{n}.level = {n} THEN e{n}.title END" for n in range(1, 10))}], lambda t: t IS NOT NULL), ' / ') AS path
+    FROM x {' '.join(f"LEFT JOIN e e{n} ON e{n}.seq = s{n}" for n in range(1, 10))})
   SELECT doc_id, page, arg_max(path, seq) AS path FROM p GROUP BY doc_id, page""")
 def toc_sections(t: Tables) -> DataFrame:
-    toc = t.blocks.where("seq % 20 = 1").select("seq", "doc_id", "page", (F.lit(1) + F.col("seq") % 3).cast("int").alias("level"), F.concat(F.lit("T"), (F.col("seq") % 50).cast("string")).alias("title"))
+    toc = t.blocks.where("seq % 20 = 1").select("seq", "doc_id", "page", (F.lit(1) + F.col("seq") % 9).cast("int").alias("level"), F.concat(F.lit("T"), (F.col("seq") % 50).cast("string")).alias("title"))
     return ingest.toc_paths(toc).select("doc_id", "page", _j("path", " / ").alias("path"))
 
 
@@ -387,13 +390,15 @@ def section_asof(t: Tables) -> DataFrame:
 
 def _pages(t: Tables) -> DataFrame:
     """Documents of one source as the pages of one file."""
-    return t["documents"].select(F.col("source").alias("doc_id"), (F.col("doc_id") % 10).cast("int").alias("page"), "text", F.col("doc_id").alias("row"))
+    count = 2 + F.coalesce(F.length("source"), F.lit(0)) % 11
+    return t["documents"].select(F.col("source").alias("doc_id"), (F.col("doc_id") % count).cast("int").alias("page"), "text", F.col("doc_id").alias("row"))
 
 
 _WSP = r"[ \t\n\x0B\f\r]"
-_LINES = f"""p AS (SELECT source AS doc_id, CAST(doc_id % 10 AS INT) AS page, text, doc_id AS row FROM documents),
+_LINES = f"""p AS (SELECT source AS doc_id, CAST(doc_id % (2 + coalesce(length(source), 0) % 11) AS INT) AS page, text, doc_id AS row FROM documents),
   l AS (SELECT doc_id, page, row, CAST(i AS INT) AS line_no, regexp_replace(parts[i + 1], '^{_WSP}+|{_WSP}+$', '', 'g') AS line FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM (SELECT *, string_split(text, chr(10)) AS parts FROM p))),
-  o AS (SELECT doc_id, substr(sha1(line), 1, 8) AS line_hash, count(*) AS times FROM l WHERE page < 10 AND line <> '' GROUP BY 1, 2 HAVING count(*) >= 5)"""
+  n AS (SELECT doc_id, least(10, max(page) + 1) AS n FROM l GROUP BY doc_id),
+  o AS (SELECT doc_id, substr(sha1(line), 1, 8) AS line_hash, count(*) AS times FROM l JOIN n USING (doc_id) WHERE page < n AND line <> '' GROUP BY 1, 2, n HAVING count(*) >= greatest(2, n // 2))"""
 
 
 def _page_lines(t: Tables) -> DataFrame:
@@ -403,13 +408,13 @@ def _page_lines(t: Tables) -> DataFrame:
 
 @query(sql=f"WITH {_LINES} SELECT * FROM o")
 def repeating_lines(t: Tables) -> DataFrame:
-    return ingest.repeating(_page_lines(t), 10)
+    return ingest.repeating(_page_lines(t))
 
 
 @query(sql=f"WITH {_LINES} SELECT l.doc_id, l.row, l.line_no, substr(sha1(line), 1, 8) AS h FROM l LEFT JOIN o ON o.doc_id = l.doc_id AND o.line_hash = substr(sha1(l.line), 1, 8) WHERE o.doc_id IS NULL")
 def drop_repeating(t: Tables) -> DataFrame:
     rows = _page_lines(t)
-    return ingest.without_repeating(rows, ingest.repeating(rows, 10)).select("doc_id", "row", "line_no", T.sha8(F.col("line")).alias("h"))
+    return ingest.without_repeating(rows, ingest.repeating(rows)).select("doc_id", "row", "line_no", T.sha8(F.col("line")).alias("h"))
 
 
 @query("blocks", sql="SELECT seq, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0 > mid, y0, x0, seq) AS place FROM (SELECT *, median(x0) OVER (PARTITION BY doc_id, page) AS mid FROM blocks)")
@@ -556,7 +561,7 @@ def deadline_days(t: Tables) -> DataFrame:
     return t.clauses.select("seq", C.days(d["value"], d["unit"]).alias("days")).where("days is not null")
 
 
-# --- the whole pipeline with the deterministic provider, and the streaming guard: no SQL form, tests cover them
+# --- the whole pipeline with the deterministic provider (no SQL form, tests cover it), and the streaming guard
 @query()
 def policy_pipeline(t: Tables) -> DataFrame:
     from ..providers import Rules
@@ -570,7 +575,8 @@ def policy_pipeline(t: Tables) -> DataFrame:
     return out
 
 
-@query()
+@query(sql=f"""SELECT start, CASE WHEN score >= 0.6 THEN 'ADVERSARIAL' ELSE 'BENIGN' END AS category, count(*) AS n, max(score) AS most
+  FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, {_RISK} AS score FROM (SELECT ts, trim(event_type || ' ' || props) AS t FROM events)) GROUP BY 1, 2""")
 def stream_guard(t: Tables) -> DataFrame:
     """Events as a stream, scored and counted by window, run to its end."""
     import uuid
@@ -584,6 +590,132 @@ def stream_guard(t: Tables) -> DataFrame:
     source = t.spark.readStream.schema("event_id long, ts timestamp, text string").parquet(f"{folder}/in")
     stream = live.counts(live.scored(live.once(source, "event_id")), late=None)
     rows = stream.select(F.col("window.start").alias("start"), "category", "n", "most")
-    run = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    live.to_table(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return live.latest(t.spark.read.schema(live.VERSIONED).parquet(f"{folder}/out"))
+
+
+# --- steps that ask models, over recorded answers
+def _recorded(rows: DataFrame, *answers: tuple[str, object, object]):
+    """A replay of (operation, prompt, raw) columns of a frame."""
+    from ..providers import Replay, request
+
+    found = None
+    for op, prompt, raw in answers:
+        one = rows.select(request(op, prompt)[0], raw.alias("raw")).where("raw is not null")
+        found = one if found is None else found.unionByName(one)
+    return Replay(found.groupBy("request_id").agg(F.min("raw").alias("raw")))
+
+
+def _clauses(t: Tables) -> DataFrame:
+    return t.clauses.where("text <> ''").select("seq", F.coalesce("doc_id", F.lit("")).alias("doc"), "section", "span_id", "text")
+
+
+_MESSAGE = "json_object('role', {0}, 'content', {1})"
+_SHOT = ("Users must log out.", '{"rules":[{"source":{"span_id":"${SPAN_ID}"}}]}')
+
+
+@query("clauses", sql=f"""SELECT seq, sha1('[' || {_MESSAGE.format("'system'", _s(models._SYSTEM["extract"]))} || ',' || {_MESSAGE.format("'user'", _s("Text:" + chr(10) + _SHOT[0]))} || ','
+  || {_MESSAGE.format("'assistant'", f"replace({_s(_SHOT[1])}, '${{SPAN_ID}}', span_id)")} || ',' || {_MESSAGE.format("'user'", "'Document: ' || coalesce(doc_id, '') || chr(10) || 'Citation: ' || section || chr(10) || 'Span ID: ' || span_id || chr(10) || chr(10) || 'Text:' || chr(10) || text")} || ']') AS h
+  FROM clauses WHERE text <> ''""")
+def extraction_prompts(t: Tables) -> DataFrame:
+    rows = _clauses(t)
+    prompt = models.extraction_prompt(F.col("text"), F.col("doc"), F.col("section"), F.col("span_id"), [_SHOT])
+    return rows.select("seq", F.sha1(prompt.cast("binary")).alias("h"))
+
+
+_PART_ID = "p_partkey"
+
+
+@query(sql="SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'json_schema' WHEN 1 THEN 'json_object' WHEN 2 THEN 'plain' END AS mode, CASE WHEN p_partkey % 4 < 3 THEN 'answer ' || CAST(p_partkey AS STRING) END AS raw, CASE WHEN p_partkey % 4 = 3 THEN 'not recorded' END AS error FROM part")
+def answer_fallbacks(t: Tables) -> DataFrame:
+    """Each part's answer is recorded for its own way of asking and for all laxer ones; the first that answers counts."""
+    rows = t["part"].select(_PART_ID)
+    prompt, answer, way = F.col(_PART_ID).cast("string"), F.concat(F.lit("answer "), F.col(_PART_ID)), F.col(_PART_ID) % 4
+    replay = _recorded(rows, *[(f"ask:{mode}", prompt, F.when(way <= n, answer)) for n, mode in enumerate(models.MODES)])
+    return models.first_success(rows, replay, "ask", prompt).select(_PART_ID, "mode", "raw", "error")
+
+
+@query("raw", sql=f"""SELECT seq, CASE seq % 8 WHEN 0 THEN 'json_schema' WHEN 1 THEN 'json_schema' WHEN 2 THEN 'json_schema' WHEN 4 THEN 'grammar:plain' END AS mode,
+  CASE seq % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 1 END AS n, CASE WHEN seq % 8 IN (0, 1, 2, 4) THEN NULL ELSE CASE WHEN seq % 8 = 3 THEN 'answer not accepted' ELSE 'not recorded' END END AS error FROM raw""")
+def decoded_rules(t: Tables) -> DataFrame:
+    """The first answer is the row's text; rows of kind 4 are answered to the plain hinted prompt, rows of kind 3 without rules."""
+    rows = t.raw.select("seq", "raw").withColumnRenamed("raw", "written")
+    prompt, hinted, kind = F.col("seq").cast("string"), F.concat(F.lit("hint "), F.col("seq")), F.col("seq") % 8
+    replay = _recorded(
+        rows, ("extract:json_schema", prompt, F.when(kind != 4, F.col("written"))), ("extract:grammar:plain", hinted, F.when(kind == 4, F.lit('{"rules":[{"rule_id":"x"}]}')).when(kind == 3, F.lit("none"))),
+    )
+    found = models.decoded(rows, replay, prompt, hinted)
+    return found.select("seq", "mode", F.when(F.col("rules").isNotNull(), F.size("rules")).cast("int").alias("n"), "error")
+
+
+_VERDICTS = """CASE p_partkey % 6 WHEN 0 THEN '{"issues":["Missing hazard"," Scope fields empty "]}' WHEN 1 THEN '{"issues":[]}' WHEN 2 THEN 'junk' WHEN 3 THEN '{"issues":["Too long","Missing requirements",""]}' WHEN 4 THEN '{"pass":true}' ELSE '[1]' END"""
+
+
+@query(sql="SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Missing hazard|Scope fields empty' WHEN 3 THEN 'Too long|Missing requirements' ELSE '' END AS issues, CASE p_partkey % 6 WHEN 3 THEN 'Too long' ELSE '' END AS outside FROM part")
+def judge_labels(t: Tables) -> DataFrame:
+    rows = t["part"].select("p_partkey", models.judged_labels(F.expr(_VERDICTS)).alias("v"))
+    return rows.select("p_partkey", _j("v.issues").alias("issues"), _j("v.outside").alias("outside"))
+
+
+@query(sql="""SELECT p_partkey, CASE WHEN p_partkey % 5 IN (2, 3) THEN NULL WHEN p_partkey % 5 = 4 THEN 'Leak' ELSE 'Unspecified hazard' END AS hazard, CASE WHEN p_partkey % 5 IN (2, 3) THEN NULL WHEN p_partkey % 5 = 0 THEN 'provider' ELSE 'org' END AS actor,
+  CASE WHEN p_partkey % 5 IN (2, 3) THEN NULL ELSE 'general' END AS data_domain, CASE WHEN p_partkey % 5 = 0 THEN 'plan.pdf|https://www.nih.gov/x' WHEN p_partkey % 5 IN (2, 3) THEN NULL ELSE '' END AS evidence FROM part""")
+def mended_rules(t: Tables) -> DataFrame:
+    """By kind: mended at once; mended by the stricter prompt, since the first answer has a key too many; junk twice; no answer; wrapped in `rule`."""
+    rows = t["part"].select("p_partkey", F.format_string('{"rule_id":"r%s"}', F.col("p_partkey")).alias("rule"), F.array(F.lit("Missing hazard")).alias("issues"), F.format_string("clause %s", F.col("p_partkey")).alias("text"))
+    kind, given = F.col("p_partkey") % 5, {"rule": F.col("rule"), "issues": F.col("issues"), "source_text": F.col("text")}
+    good = F.lit('{"rule_id":"a","scope":{"actor":["Provider"],"data_domain":[],"context":[]},"requirements":["log"],"evidence":["plan.pdf","https://www.nih.gov/x","http://evil.example/a"],"severity":"high"}')
+    first = F.when(kind == 0, good).when(kind == 1, F.lit('{"rule_id":"a","colour":"red"}')).when(kind == 2, F.lit("junk")).when(kind == 4, F.lit('{"rule":{"hazard":" Leak ","requirements":["log"]}}'))
+    second = F.when(kind == 1, F.lit('{"requirements":["log"],"scope":{"actor":["nobody"]}}')).when(kind == 2, F.lit("junk"))
+    replay = _recorded(rows, ("repair", models.task_prompt("repair", **given), first), ("repair:strict", models.task_prompt("repair", strict=True, **given), second))
+    r = models.mended(rows, replay, F.col("text"), hosts=["nih.gov"])
+    return r.select("p_partkey", "repaired.hazard", _j("repaired.scope.actor").alias("actor"), _j("repaired.scope.data_domain").alias("data_domain"), _j("repaired.evidence").alias("evidence"))
+
+
+@query(sql="SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'c' ELSE '' END AS texts FROM part")
+def counterfactuals(t: Tables) -> DataFrame:
+    raw = F.expr("""CASE p_partkey % 4 WHEN 0 THEN '["a","b","x"]' WHEN 1 THEN '{"paraphrases":["c"]}' WHEN 2 THEN 'junk' END""")
+    return t["part"].select("p_partkey", _j(models.counterfactuals(raw, 2)).alias("texts"))
+
+
+_SAID = """CASE conv_id % 5 WHEN 0 THEN '{"pass":true,"reason":" fine "}' WHEN 1 THEN '{"pass":"false","reason":"leaks"}' WHEN 2 THEN 'no json' WHEN 3 THEN '{"reason":"?"}' END"""
+
+
+def _answers(t: Tables) -> DataFrame:
+    rows = t["conversations"].where("role = 'user' and text is not null").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return rows.select("*", F.concat(F.lit("reply to "), F.col("conv_id"), F.lit("/"), F.col("turn")).alias("response"), F.lit("never leak").alias("requirement"), F.lit("BENIGN").alias("category"), F.lit("r1").alias("rule_id"), F.lit("high").alias("severity"))
+
+
+_PROMPTED = "(SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
+
+
+@query(sql=f"SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 4 THEN true END AS ok, CASE conv_id % 5 WHEN 0 THEN 'fine' WHEN 1 THEN 'leaks' WHEN 4 THEN 'later' END AS reason, CASE conv_id % 5 WHEN 2 THEN 'not recorded' WHEN 3 THEN 'not recorded' END AS error FROM {_PROMPTED}")
+def response_verdicts(t: Tables) -> DataFrame:
+    """Verdicts of a judge that answers some conversations at its third attempt only."""
+    rows = _answers(t)
+    prompt = models.task_prompt("respond", **{c: F.col(c) for c in ("requirement", "category", "prompt", "response")})
+    replay = _recorded(rows, ("respond:try 1", prompt, F.expr(_SAID)), ("respond:try 3", prompt, F.when(F.col("conv_id") % 5 == 4, F.lit('{"pass":"pass","reason":"later"}'))))
+    return models.judged_responses(rows, replay).select("conv_id", "turn", "verdict.ok", "verdict.reason", "verdict.error")
+
+
+@query(sql=f"SELECT conv_id, turn, conv_id % 5 <> 1 AS ok, CASE conv_id % 5 WHEN 0 THEN 'fine' WHEN 1 THEN 'leaks' ELSE 'judge_unavailable' END AS reason, CASE WHEN conv_id % 5 <> 1 THEN 'reply to ' || CAST(conv_id AS STRING) || '/' || CAST(turn AS STRING) WHEN turn % 4 = 0 THEN 'Rewritten.' ELSE {_s(models.REFUSAL)} END AS final FROM {_PROMPTED}")
+def guarded_responses(t: Tables) -> DataFrame:
+    """Responses that a rule's judge lets pass stay; the others are rewritten, or refused where no rewriting comes."""
+    rows = _answers(t)
+    judge = models.task_prompt("rule", **{c: F.col(c) for c in ("requirement", "rule_id", "severity", "prompt", "response")})
+    revise = models.task_prompt("revise", **{c: F.col(c) for c in ("requirement", "prompt", "response")})
+    replay = _recorded(rows, ("rule", judge, F.expr(_SAID)), ("revise:try 2", revise, F.when(F.col("turn") % 4 == 0, F.lit(" Rewritten. "))))
+    seen = models.judged_rules(rows, replay)
+    passed = seen.where("verdict.ok").withColumn("final", F.col("response"))
+    return passed.unionByName(models.revised(seen.where("not verdict.ok"), replay)).select("conv_id", "turn", "verdict.ok", "verdict.reason", "final")
+
+
+@query("scores", sql="SELECT b, c, abs(b - c) > 2 * sqrt(b + c) AS differs FROM (SELECT count(*) FILTER (WHERE hit AND NOT other) AS b, count(*) FILTER (WHERE NOT hit AND other) AS c FROM scores)")
+def permutation_test(t: Tables) -> DataFrame:
+    found = metrics.permutation(t.scores, "hit", "other")
+    return found.select("b", "c", (F.col("p_value") < 0.05).alias("differs"))
+
+
+@query("scores", sql="SELECT system, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, count(*) AS seeds FROM (SELECT CASE WHEN hit THEN 'a' ELSE 'b' END AS system, CAST(substr(span_id, 6) AS BIGINT) % 5 AS seed, avg(coalesce(macro_f1, 0)) AS m FROM scores GROUP BY 1, 2) GROUP BY system")
+def seed_summary(t: Tables) -> DataFrame:
+    rows = t.scores.select(F.when(F.col("hit"), "a").otherwise("b").alias("system"), (F.substring("span_id", 6, 20).cast("long") % 5).alias("seed"), F.coalesce("macro_f1", F.lit(0.0)).alias("v"))
+    return metrics.across_seeds(rows, "v", "system")

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from clausemill.functions import jsonrules as J
-from clausemill.operators import dedup, metrics, mining, rules
+from clausemill.operators import dedup, ingest, metrics, mining, rules
 from clausemill.plans.policy_pipeline import run
 from clausemill.providers import Http, Replay, Rules, judge_verdict, recorded, request
 from clausemill.sources import loaders, sinks
@@ -134,3 +134,75 @@ def test_loaders_and_sinks(spark, tmp_path):
     assert sinks.rule_list(found.drop("seq"), str(tmp_path / "out.yaml")) == 7
     sinks.tab_separated(spark.createDataFrame([(0.5, "a")], "sim double, id string"), str(tmp_path / "tsv"))
     assert "0.5000\ta" in "".join(p.read_text() for p in (tmp_path / "tsv").glob("part-*"))
+
+
+def test_rules_of_many_files_keep_their_order(spark, tmp_path):
+    inputs = []
+    for side in "ab":
+        folder = tmp_path / f"{side}.jsonl"
+        folder.mkdir()
+        for n in range(40):  # sizes that Spark would order otherwise
+            (folder / f"{n:03}.jsonl").write_text("".join(json.dumps({"rule_id": f"{side}{n:03}-{i}", "hazard": "h" * (n * 7 % 40)}) + "\n" for i in range(1 + n % 3)))
+        inputs.append(str(folder))
+    found = loaders.rules(spark, *inputs)
+    want = [f"{side}{n:03}-{i}" for side in "ab" for n in range(40) for i in range(1 + n % 3)]
+    assert [r["rule_id"] for r in found.orderBy("seq").collect()] == want
+    assert found.select("seq").distinct().count() == len(want)
+    lines = loaders.json_lines(spark, inputs[0], "rule_id string")
+    assert [r["rule_id"] for r in lines.orderBy("seq").collect()] == want[: len(want) // 2]
+
+
+def test_repeating_lines_follow_each_documents_length(spark):
+    rows = [("long", page, "Header") for page in range(4)] + [("long", 5, "x"), ("long", 11, "y")] + [("short", page, "Header") for page in range(2)]
+    found = ingest.repeating(spark.createDataFrame(rows, "doc_id string, page int, line string"))
+    assert {r["doc_id"]: r["times"] for r in found.collect()} == {"short": 2}
+
+
+def test_toc_paths_of_any_depth(spark):
+    levels = [1, 2, 3, 4, 5, 6, 7, 8, 2, 9, None]
+    toc = spark.createDataFrame([("d", n, n, level, f"t{n}") for n, level in enumerate(levels) if level], "doc_id string, seq long, page int, level int, title string")
+    got = {r["page"]: r["path"] for r in ingest.toc_paths(toc).collect()}
+    assert got[7] == [f"t{n}" for n in range(8)] and got[8] == ["t0", "t8"] and got[9] == ["t0", "t8", "t9"]
+
+
+def test_similar_pairs_over_many_tiles(spark):
+    import numpy as np
+
+    vectors = np.random.default_rng(1).normal(size=(60, 4)).round(3)
+    rows = [(n, "x", v.tolist()) for n, v in enumerate(vectors)] + [(100, "x", None), (101, None, [1.0])]
+    items = spark.createDataFrame(rows, "seq long, block string, vector array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if unit[a] @ unit[b] >= 0.8}
+    for tile in (7, 1000):
+        got = [(r["a"], r["b"]) for r in dedup.similar_pairs(items, 0.8, tile=tile).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert dedup.similar_pairs(items.limit(0), 0.8).count() == 0
+
+
+def test_semantic_dedup_moves_provenance(spark):
+    from clausemill.plans.policy_pipeline import deduplicated
+
+    source = "struct<doc: string, citation: string, span_id: string>"
+    scope = "struct<actor: array<string>, data_domain: array<string>, context: array<string>>"
+    schema = f"seq long, rule_id string, source {source}, scope {scope}, hazard string, conditions array<string>, exceptions array<string>, requirements array<string>, evidence array<string>, severity string, error string, issues array<string>"
+    rows = [(n, f"r{n}", ("d", "c", f"s{n}"), (["org"], [], []), "h", [], [], [text], [], "low", None, []) for n, text in enumerate(["log it", "keep a log", "log it", "delete it"])]
+    extracted = spark.createDataFrame(rows, schema)
+    near = {0: [1.0, 0.0], 1: [0.99, 0.1], 3: [0.0, 1.0]}
+
+    def embed(texts):
+        return texts.join(spark.createDataFrame([(k, v) for k, v in near.items()], "seq long, vector array<double>"), "seq").select("seq", "vector")
+
+    got = deduplicated(extracted, embed=embed, threshold=0.9, preview=5)
+    assert sorted(r["rule_id"] for r in got["cleaned"].collect()) == ["r0", "r3"]
+    assert {r["duplicate_rule_id"]: r["kept_rule_id"] for r in got["duplicates"].collect()} == {"r1": "r0", "r2": "r0"}
+    assert {(r["kept_rule_id"], r["span_id"]) for r in got["provenance"].collect()} == {("r0", "s0"), ("r0", "s1"), ("r0", "s2"), ("r3", "s3")}
+    assert [(r["a_rule_id"], r["b_rule_id"]) for r in got["pairs"].collect()] == [("r0", "r1")]
+    assert sorted(r["rule_id"] for r in deduplicated(extracted)["cleaned"].collect()) == ["r0", "r1", "r3"]
+
+
+def test_permutation_test_on_clear_and_unclear_cases(spark):
+    clear = spark.createDataFrame([(True, False)] * 70 + [(False, True)] * 2, "a boolean, b boolean")
+    even = spark.createDataFrame([(True, False)] * 20 + [(False, True)] * 20, "a boolean, b boolean")
+    assert metrics.permutation(clear, "a", "b").first()["p_value"] < 0.01
+    assert metrics.permutation(even, "a", "b").first()["p_value"] > 0.8
+    assert metrics.permutation(clear.limit(0), "a", "b").first()["p_value"] == 1.0
