@@ -39,7 +39,7 @@ def heading_starts(spans: DataFrame) -> DataFrame:
 
 def section_of(pages: DataFrame, starts: DataFrame) -> DataFrame:
     """As-of join: the last section that starts at or before a page; before any, the first."""
-    every = pages.select("doc_id", "page", F.lit(1).alias("side"), F.lit(None).cast("string").alias("path")).unionByName(starts.select("doc_id", "page", F.lit(0).alias("side"), "path"))
+    every = pages.select("doc_id", "page", F.lit(1).alias("side"), F.lit(None).cast(starts.schema["path"].dataType).alias("path")).unionByName(starts.select("doc_id", "page", F.lit(0).alias("side"), "path"))
     order = Window.partitionBy("doc_id").orderBy("page", "side")
     last = F.last("path", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     first = F.first("path", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -107,16 +107,58 @@ def flat_table(rows: Column) -> Column:
 
 
 def spans_from_pages(pages: DataFrame, *, group_n: int = 4) -> DataFrame:
-    """Sentence groups of each page with ids that count on through a section."""
+    """Sentence groups of each page with ids that count on through a section, from 1."""
     groups = pages.select("doc_id", "page", "section_path", F.posexplode(chunked(sentences(F.col("text")), group_n)).alias("group_no", "group"))
     count = F.row_number().over(Window.partitionBy("doc_id", "section_path").orderBy("page", "group_no"))
     name = F.array_join(F.transform("section_path", lambda s: slug(s)), "/")
-    return groups.withColumn("nth", count - 1).select(
+    return groups.withColumn("nth", count).select(
         F.concat("doc_id", F.lit("/"), name, F.format_string("/sent_%04d", "nth")).alias("span_id"), "doc_id", F.lit("sentence").alias("kind"),
         F.element_at("section_path", -1).alias("section"), "section_path", "page", F.array_join("group", " ").alias("text"), F.size("group").alias("group_size"), F.lit(group_n).alias("group_n"),
     )
 
 
+def _numbered_spans(rows: DataFrame, kind: str, number: Column, form: str) -> DataFrame:
+    """Spans of a kind whose ids hold the page (from 1) and a number on it; `rows` has doc_id, page, section_path, text."""
+    name = F.array_join(F.transform("section_path", lambda s: slug(s)), "/")
+    return rows.withColumn("nth", number).select(
+        F.concat("doc_id", F.lit("/"), name, F.format_string(f"/{form}", F.col("page") + 1, F.col("nth"))).alias("span_id"), "doc_id", F.lit(kind).alias("kind"),
+        F.element_at("section_path", -1).alias("section"), "section_path", (F.col("page") + 1).alias("page"), "text",
+    )
+
+
+def assembled(blocks: DataFrame, *, toc: DataFrame | None = None, tables: DataFrame | None = None, figures: DataFrame | None = None, group_n: int = 4) -> DataFrame:
+    """Spans of documents from parsed lines of their pages (the rows of the PDF source): all steps of ingest in order.
+
+    Margins, footnotes and repeated lines go; columns are read one after the
+    other; sections come from `toc` (doc_id, seq, page, level, title) where a
+    document has one, else from headings.  `tables` (doc_id, page, nth, rows)
+    and `figures` (doc_id, page, nth, summary; what a model said) become spans
+    of their own, captions and files that can't be read too.  Pages are counted
+    from 0 in what is given and from 1 in spans.
+    """
+    failed = blocks.where("error is not null") if "error" in blocks.columns else blocks.limit(0).withColumn("error", F.lit(None).cast("string"))
+    read = blocks.where("error is null").drop("error") if "error" in blocks.columns else blocks
+    placed = in_columns(without_footnotes(inside_margins(read).withColumn("sizes", F.array("size"))))
+    numbered = placed.select("doc_id", "page", F.col("place").alias("line_no"), strip(F.col("text")).alias("line"))
+    bare = page_text(without_repeating(numbered, repeating(numbered)))
+    starts = heading_starts(read).select("doc_id", "page", F.array("heading").alias("path"))
+    if toc is not None:
+        listed = toc_paths(toc)
+        starts = starts.join(listed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(listed)
+    pages = section_of(read.select("doc_id", "page").distinct(), starts).withColumnRenamed("path", "section_path")
+    sentences_ = spans_from_pages(bare.join(pages, ["doc_id", "page"]), group_n=group_n).drop("group_size", "group_n").withColumn("page", F.col("page") + 1)
+    order = Window.partitionBy("doc_id", "page").orderBy("seq")
+    named = captions(read).join(pages, ["doc_id", "page"])
+    out = sentences_.unionByName(_numbered_spans(named, "caption", F.row_number().over(order) - 1, "caption_%d_%02d"))
+    if tables is not None:
+        out = out.unionByName(_numbered_spans(tables.where(F.size("rows") > 0).join(pages, ["doc_id", "page"]).withColumn("text", flat_table(F.col("rows"))), "table", F.col("nth"), "table_%d_%02d"))
+    if figures is not None:
+        said = F.coalesce(F.nullif(strip(F.col("summary")), F.lit("")), F.lit("(no summary)"))
+        out = out.unionByName(_numbered_spans(figures.join(pages, ["doc_id", "page"]).withColumn("text", said), "figure_summary", F.col("nth"), "figure_%d_%02d_summary"))
+    broken = failed.select(F.concat("doc_id", F.format_string("/page_%04d/page_%04d_error", F.col("page") + 1, F.col("page") + 1)).alias("span_id"), "doc_id", F.lit("error").alias("kind"), F.lit("").alias("section"), F.array().cast("array<string>").alias("section_path"), (F.col("page") + 1).alias("page"), F.concat(F.lit("Extraction error: "), "error").alias("text"))
+    return out.unionByName(broken)
+
+
 def gold_sheet(candidates: DataFrame, corpus: str = "nist") -> DataFrame:
     """Every candidate as a blank annotation row."""
     blank = ["is_testable", "scope.actor", "scope.data_domain", "scope.context", "hazard", "requirements", "exceptions", "severity"]

@@ -9,8 +9,9 @@ its row, never the end of the run.
 from __future__ import annotations
 
 import json
+import os
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -91,6 +92,54 @@ class Http:
         return requests.dropDuplicates(["request_id"]).select("request_id", "op", "prompt", "n").mapInPandas(ask, ANSWER)
 
 
+@dataclass(frozen=True)
+class Service:
+    """A model service: where its key is, how to reach it, which models to take first.
+
+    `connect(key)` gives a client with `models()` and `ask(model, text)`.
+    """
+
+    key_variable: str
+    connect: Callable[[str], object]
+    families: tuple[str, ...] = ()
+    preferred: tuple[str, ...] = ()
+
+
+class Registry:
+    """Services by name; a name or key that is missing is an error, a model that does not answer is passed over."""
+
+    def __init__(self, **services: Service) -> None:
+        self.services = services
+
+    def client(self, name: str, keys: Mapping[str, str] = os.environ) -> object:
+        service = self.services.get(name.lower())
+        if service is None:
+            raise ValueError(f"Unknown provider '{name}'; there are {sorted(self.services)}")
+        key = keys.get(service.key_variable, "")
+        if not key:
+            raise RuntimeError(f"{service.key_variable} is not set, which provider '{name}' needs")
+        return service.connect(key)
+
+    def model(self, name: str, client: object, wanted: str | None = None) -> str:
+        """The wanted model if it answers; else the first that does of those listed (of the service's families if any is) and preferred; else the last preferred."""
+        service = self.services[name.lower()]
+        try:
+            listed = list(client.models())
+        except Exception:
+            listed = []
+        kin = [m for m in listed if any(f in m.lower() for f in service.families)]
+        tried = dict.fromkeys([*([wanted] if wanted else []), *(kin or listed), *service.preferred])
+        for model in tried:
+            try:
+                client.ask(model, "[1]")
+                return model
+            except Exception:
+                continue
+        if service.preferred:
+            return service.preferred[-1]
+        raise RuntimeError(f"no model of provider '{name}' answers")
+
+
 def judge_verdict(raw: Column) -> Column:
     """struct(pass, reason) of a judge's answer; what can't be read passes, with the reason said."""
     found = F.from_json(raw, "pass string, reason string")

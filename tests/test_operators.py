@@ -3,12 +3,13 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausemill.functions import jsonrules as J
 from clausemill.operators import dedup, ingest, metrics, mining, rules
 from clausemill.plans.policy_pipeline import run
-from clausemill.providers import Http, Replay, Rules, judge_verdict, recorded, request
+from clausemill.providers import Http, Registry, Replay, Rules, Service, judge_verdict, recorded, request
 from clausemill.sources import loaders, sinks
 
 SPANS = "seq long, span_id string, doc_id string, kind string, section_path array<string>, page int, sent_index int, text string"
@@ -206,3 +207,59 @@ def test_permutation_test_on_clear_and_unclear_cases(spark):
     assert metrics.permutation(clear, "a", "b").first()["p_value"] < 0.01
     assert metrics.permutation(even, "a", "b").first()["p_value"] > 0.8
     assert metrics.permutation(clear.limit(0), "a", "b").first()["p_value"] == 1.0
+
+
+def test_pages_become_spans(spark):
+    kind = "doc_id string, page int, seq long, x0 double, y0 double, x1 double, y1 double, height double, size double, text string, error string"
+
+    def line(doc, page, seq, x, y, size, text):
+        return (doc, page, seq, float(x), float(y), float(x + 100), float(y + 10), 800.0, float(size), text, None)
+
+    rows = [("broken", 0, 0, *[None] * 6, None, "no PDF")]
+    for page in range(4):
+        rows += [line("a", page, 10 * page, 50, 100, 9, "Running head"), line("a", page, 10 * page + 1, 50, 10, 9, "in the margin")]
+        rows += [line("a", page, 10 * page + 2, 50, 200, 9, f"Users must log {page}. Staff shall act."), line("a", page, 10 * page + 3, 400, 120, 9, f"Right column {page}.")]
+        rows += [line("a", page, 10 * page + 4, 50, 740, 5, "1 a footnote")]
+    rows += [line("a", 1, 15 + n, 50, 150 + 12 * n, 20, "More in large type" if n else "Big Heading") for n in range(4)]  # the limit is the median of six sizes
+    rows += [line("a", 2, 25, 50, 300, 9, "Table 3 shows rows")]
+    spans = ingest.assembled(spark.createDataFrame(rows, kind), tables=spark.createDataFrame([("a", 2, 0, [["x", " y"], ["1", None]])], "doc_id string, page int, nth int, rows array<array<string>>"), figures=spark.createDataFrame([("a", 3, 1, " ")], "doc_id string, page int, nth int, summary string"), group_n=2)
+    got = {r["span_id"]: r for r in spans.collect()}
+    text = " ".join(r["text"] for r in got.values())
+    assert "Running head" not in text and "margin" not in text and "footnote" not in text
+    assert [r["text"] for r in got.values() if r["kind"] == "error"] == ["Extraction error: no PDF"]
+    assert got["a/big-heading/table_3_00"]["text"] == "x, y\n1, " and got["a/big-heading/caption_3_00"]["text"] == "Table 3 shows rows"
+    assert got["a/big-heading/figure_4_01_summary"]["text"] == "(no summary)"
+    assert any(r["section_path"] == ["Big Heading"] and "Users must log 1." in r["text"] for r in got.values())
+    toc = spark.createDataFrame([("a", 0, 0, 1, "One"), ("a", 1, 2, 2, "Two")], "doc_id string, seq long, page int, level int, title string")
+    listed = ingest.assembled(spark.createDataFrame(rows, kind), toc=toc)
+    assert {tuple(r["section_path"]) for r in listed.where("kind = 'sentence'").collect()} == {("One",), ("One", "Two")}
+
+
+def test_command_line_writes_all_stages(spark, tmp_path):
+    from clausemill.__main__ import main
+
+    (tmp_path / "spans.jsonl").write_text("".join(json.dumps({"span_id": f"d/s{n}", "doc_id": "d", "kind": "sentence", "section": "Part", "section_path": ["Part"], "page": 1, "text": t}) + "\n" for n, t in enumerate(["The provider shall log every response output.", "Plain remark."])))
+    written = main([str(tmp_path / "spans.jsonl"), str(tmp_path / "out"), "--target-n", "2"])
+    assert written["candidates"] == written["cleaned"] == 1 and written["test_cases"] == 4
+
+
+def test_registry_probes_models():
+    class Client:
+        def __init__(self, key):
+            self.key = key
+
+        def models(self):
+            return ["other-1", "fam-broken", "fam-good"]
+
+        def ask(self, model, text):
+            if model in ("fam-broken", "gone"):
+                raise OSError("no")
+
+    known = Registry(some=Service("SOME_KEY", Client, families=("fam",), preferred=("fam-last",)))
+    client = known.client("Some", {"SOME_KEY": "k"})
+    assert client.key == "k"
+    assert known.model("some", client) == "fam-good" and known.model("some", client, "other-1") == "other-1" and known.model("some", client, "gone") == "fam-good"
+    with pytest.raises(ValueError, match="Unknown provider"):
+        known.client("none")
+    with pytest.raises(RuntimeError, match="SOME_KEY"):
+        known.client("some", {})
