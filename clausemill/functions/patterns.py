@@ -5,7 +5,7 @@ both engines.  A pattern that needs look-around is split in two (PLAIN_MAY).
 """
 
 DEONTIC = (
-    r"(?i)\b(shall(\s+not)?|must(\s+not)?|should(\s+not)?|may\s+not|may\s+only\b|is\s+required\s+to|are\s+required\s+to|"
+    r"(?i)\b(shall(?:\s+not)?|must(?:\s+not)?|should(?:\s+not)?|may\s+not|may\s+only\b|is\s+required\s+to|are\s+required\s+to|"
     r"is\s+prohibited\s+from|are\s+prohibited\s+from|forbidden|prohibited|unlawful|ensure\s+that|verify\s+that|"
     r"enable\s+.*\s+only\s+if|guarantee\s+that|responsible\s+for|obliged\s+to|mandated\s+to)\b"
 )
@@ -24,7 +24,7 @@ INFORMATIVE = r"(?i)\b(example|examples|note|notes|guidance|informative|appendix
 NORMATIVE = r"(?i)\b(scope|requirements?|shall|must|obligations?)\b"
 ADMINISTRATIVE = r"(?i)\b(this\s+(document|publication|playbook)|email\s+to|comments?\s+may\s+be\s+sent|contact\s|printing\s+office|citation\s+information)\b"
 EPISTEMIC = r"(?i)\bmay\s+not\s+(align|recognize|apply|capture|reflect|generalize|work|hold)\b"
-ACTOR = r"(?i)\b(organizations?|providers?|deployers?|users?|operators?|controllers?|processors?|ai\s+actors?)\b"
+ACTOR = r"(?i)\b(organization(?:s)?|provider(?:s)?|deployer(?:s)?|user(?:s)?|operator(?:s)?|controller(?:s)?|processor(?:s)?|ai\s+actor(?:s)?)\b"
 
 PROHIBITED = r"\b(shall|must)\s+not\b|prohibit|forbid|unlawful"
 #: "may" that neither "only" nor "not" follows: take those away first, then look for any left.
@@ -52,7 +52,7 @@ REPAIR_CRITICAL = r"\b(critical|fatal|breach|exfiltr|unlawful|gdpr\s+fine)\b"
 REPAIR_HIGH = r"\b(shall|must|prohibit|required|forbidden)\b"
 REPAIR_MEDIUM = r"\b(should|recommend|prefer)\b"
 
-#: Risk patterns: (weight once found, more for each of up to two hits).
+# Fixed values, as all below but RISK_LITERALS: risk patterns with (weight once found, more for each of up to two hits).
 RISKS = {
     "pii": (0.4, 0.15, r"(?i)\b(ssn|social\s*security|passport|driver'?s?\s*license|mrn|medical\s*record|npi)\b"),
     "secrets": (0.6, 0.2, r"(?i)\b(token|api[_-]?key|password|secret|bearer\s+[a-z0-9\-_.]+)\b"),
