@@ -9,10 +9,12 @@ a batch of bounded size, whatever the length of single texts.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -52,6 +54,18 @@ def release(owner: str = "") -> None:
         pass
 
 
+def bounded(run: Callable) -> Callable:
+    """A function over a task's batches that gives memory back before the first and after the last, for workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        release()
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x.astype(U64, copy=True)
@@ -82,7 +96,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about `most` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -102,6 +116,18 @@ def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, np.nd
         first = last
 
 
+def packed(texts: pa.Array) -> pa.Array:
+    """Texts compressed one by one, as they are sent: well below what the compression of shuffled blocks leaves."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([press(t or b"") for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """Texts that `packed` gave."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    return pa.array([open_(t) for t in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def words(content: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the words."""
     inside = table[content]

@@ -6,9 +6,9 @@ for it, unless no language uses it.  Viterbi with a fixed penalty for each
 switch then labels every word of a text; runs of one label are the spans, and
 the language with most words is the text's.
 
-The model is fitted on at most `sample` documents of each language, those of
-least text hash, and at most `sample_chars` characters of each; every document
-is labelled by its whole text.
+The model is fitted on the whole texts of at most `sample` different documents
+of each language, those of least text hash; every document is labelled by its
+whole text.  Any number of languages up to 65,535 can be told apart.
 
 Nulls and repeats: a text that is null or has no letter is `und`, with score 0;
 a null language trains nothing; repeated rows are answered one by one; without
@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U64, _bytes_in, mix, release, slices, span_hashes, words
+from .arrays import LOWER, U64, _bytes_in, bounded, mix, slices, span_hashes, words
 from .storage import restored, whole_row
 
 WORD = _bytes_in((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -84,28 +84,49 @@ def _scripts(content: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.maximum.reduceat(np.append(SCRIPT[content], 0), np.stack([starts, ends], 1).ravel())[::2] if len(starts) else starts
 
 
-def fit(labelled: DataFrame, *, sample: int = 1500, sample_chars: int = 8000, penalty: float = 12.0, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """A model from text and language of a DataFrame."""
-    known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(totals)
-    # texts below a share of the hashes that holds a little more than the sample
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, 1.2 * sample / n)))) for lang, n in totals.items()], F.lit(0))
-    picked: dict[str, list[tuple[int, str]]] = {lang: [] for lang in langs}
-    for row in known.withColumn("h", place).where(F.col("h") <= below).select("lang", "h", F.substring("text", 1, sample_chars).alias("text")).toLocalIterator():
-        picked[row["lang"]].append((row["h"], row["text"]))
-    count = np.zeros((BUCKETS, len(langs)))
-    used = np.zeros((len(SCRIPTS) + 1, len(langs)))
-    for n, lang in enumerate(langs):
-        rows = [(text,) for _, text in sorted(picked[lang])[:sample]]
-        for _, content, offsets in slices(pa.array([r[0] for r in rows], pa.string())):
-            content = LOWER[content]
-            starts, ends, _ = words(content, offsets, WORD)
-            used[:, n] += np.bincount(_scripts(content, starts, ends), minlength=len(used))
-            for bucket, _ in _grams(content, starts, ends):
-                count[:, n] += np.bincount(bucket, minlength=BUCKETS)
-    table = np.log((count + 0.1) / (count.sum(0) + 0.1 * BUCKETS))
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """lang, text: of each language the `sample` different texts of least hash, each once and whole."""
+    known = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    place = F.pmod("h", F.lit(1 << 30))
+    texts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    # hashes below a share of their range that surely holds the sample, and little more
+    below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, 2 * sample / max(n, 1))))) for lang, n in texts.items()], F.lit(0))
+    few = known.where(place <= below).select("lang", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "h")
+    bounded_size = len(texts) * sample <= 1 << 20
+    return known.join(F.broadcast(chosen) if bounded_size else chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def fit(labelled: DataFrame, *, sample: int = 1500, penalty: float = 12.0, lang_col: str = "lang", text_col: str = "text") -> Model:
+    """A model from text and language of a DataFrame; texts are counted where they are, and only the counts come to the driver."""
+    chosen = sampled(labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), sample)
+
+    @bounded
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            whose = np.array(batch.column(0).to_pylist(), object)
+            for lang in set(whose.tolist()):
+                total = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64))
+                for _, content, offsets in slices(batch.column(1).filter(pa.array(whose == lang))):
+                    content = LOWER[content]
+                    starts, ends, _ = words(content, offsets, WORD)
+                    total[BUCKETS:] += np.bincount(_scripts(content, starts, ends), minlength=len(SCRIPTS) + 1)
+                    for bucket, _ in _grams(content, starts, ends):
+                        total[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], names=["lang", "place", "times"])
+            if not len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([0], pa.int64())], names=["lang", "place", "times"])
+
+    counted = chosen.mapInArrow(count, "lang string, place int, times long").groupBy("lang", "place").agg(F.sum("times").alias("times")).toPandas()
+    langs = sorted(counted["lang"].unique())
+    both = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(langs)))
+    both[counted["place"].to_numpy(np.int64), np.searchsorted(np.array(langs, object), counted["lang"].to_numpy(object)) if langs else []] = counted["times"]
+    total, used = both[:BUCKETS], both[BUCKETS:]
+    table = np.log((total + 0.1) / (total.sum(0) + 0.1 * BUCKETS))
     table -= table.mean(1, keepdims=True) if langs else 0
     allowed = used >= 0.005 * used.sum(0, keepdims=True)
     allowed[0] = True
@@ -132,6 +153,9 @@ def word_scores(model: Model, content: np.ndarray, starts: np.ndarray, ends: np.
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """The label of each word; all texts step forward at once, the longest first."""
     n_langs = scores.shape[1]
+    if n_langs > 1 << 16:
+        raise ValueError("more than 65,535 languages")
+    kind = np.uint8 if n_langs <= 256 else np.uint16
     order = np.argsort(-counts, kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
@@ -143,8 +167,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     at = base[pos] + rank[row]
     by_step = np.empty_like(scores)
     by_step[at] = scores
-    origin = np.empty((len(row), n_langs), np.uint8)
-    own = np.arange(n_langs, dtype=np.uint8)
+    origin = np.empty((len(row), n_langs), kind)
+    own = np.arange(n_langs, dtype=kind)
     best = np.zeros((len(counts), n_langs), np.float32)
     for t in range(steps):
         n, begin = live[t], base[t]
@@ -152,11 +176,11 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
             top = best[:n].argmax(1)
             least = best[np.arange(n), top][:, None] - penalty
             switch = best[:n] < least
-            origin[begin : begin + n] = np.where(switch, top[:, None].astype(np.uint8), own)
+            origin[begin : begin + n] = np.where(switch, top[:, None].astype(kind), own)
             best[:n] = np.where(switch, least, best[:n])
         best[:n] += by_step[begin : begin + n]
-    labels = np.empty(len(row), np.uint8)
-    now = best.argmax(1).astype(np.uint8)
+    labels = np.empty(len(row), kind)
+    now = best.argmax(1).astype(kind)
     for t in range(steps - 1, -1, -1):
         n, begin = live[t], base[t]
         labels[begin : begin + n] = now[:n]
@@ -165,11 +189,11 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return labels[at]
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, most_cells: int = 4_000_000) -> DataFrame:
-    """doc_id, lang_pred, score (share of the words), spans (language, words) of every row; with `keep_rows` also the whole row as `row`."""
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, most_cells: int = 1_500_000) -> DataFrame:
+    """doc_id, lang_pred, score (share of the words), spans (language, words) of every row; with `keep_rows` also the text and, as `row`, all other columns."""
     langs = np.array([*model.langs, "und"], object)
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([whole_row(docs).alias("row")] if keep_rows else []))
-    carried = [f for f in given.schema.fields if f.name != "text"]
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([whole_row(docs, text_col).alias("row")] if keep_rows else []))
+    carried = [f for f in given.schema.fields if keep_rows or f.name != "text"]
 
     def label(texts: pa.Array, scores: list[np.ndarray], counts: np.ndarray, plain: np.ndarray) -> list[pa.Array]:
         lettered = plain.copy()
@@ -190,8 +214,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
         return [pa.array(["und"] * rows, pa.string()), pa.array([0.0] * rows, pa.float64()), pa.array([[]] * rows, kind)]
 
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         names = [*(f.name for f in carried), "lang_pred", "score", "spans"]
         for batch in batches:
             column = batch.column("text")
@@ -226,4 +250,4 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, model: Model, *, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents of which a language has at least `least_score` of the words, with that as their language."""
     found = identify(docs, model, id_col=id_col, text_col=text_col, keep_rows=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return found.select(*restored(docs, **{lang_col: F.col("lang_pred")}))
+    return found.select(*restored(docs, **{lang_col: F.col("lang_pred"), text_col: F.col("text")}))

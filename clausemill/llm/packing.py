@@ -19,8 +19,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +35,8 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 CHUNKS, WORDS = 600_000, 1_000_000
 #: What lower-casing by the tokenizer and by Python might treat differently.
 _BEYOND_LATIN = re.compile("[\u0130]|[^\x00-\u024f]")
+#: Characters that Python's split takes for white space and the tokenizer does not.
+_ODD_SPACE = re.compile("[\x1c-\x1f]").search
 #: Words that every step before the merges leaves as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
@@ -61,9 +62,9 @@ class WordEncoder:
         self.words_kept, self.chunks_kept = words_kept, chunks_kept
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.tails = dict(zip(".,", self._encoded([".", ","]), strict=True))
+        self.tails = {c: self._encoded(c) for c in ".,"}
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self.learn)
 
     @classmethod
     def of(cls, path: str, words_kept: int) -> WordEncoder:
@@ -74,45 +75,57 @@ class WordEncoder:
             held[name] = cls(path, words_kept, words_kept * CHUNKS // WORDS)
         return held[name]
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for at in range(0, len(texts), 256):
-            if len(self.words) > self.words_kept:
-                self.words = {}
-            if len(self.chunks) > self.chunks_kept:
-                self.chunks = {}
-            yield from self._some(texts[at : at + 256])
-
-    def _learn(self, chunks: set[str]) -> None:
-        split: list[tuple[str, str, bytes]] = []
-        known, tails = self.words, self.tails
-        for chunk in chunks:
-            word, tail = chunk, b""
-            if chunk[-1] in tails and "a" <= chunk[-2:-1] <= "ÿ" and chunk[-2].isalpha():
-                word, tail = chunk[:-1], tails[chunk[-1]]
-            split.append((chunk, word, tail))
-        fresh = {word for _, word, _ in split if word not in known}
-        one = self.model.tokenize
-        for word in filter(_PLAIN, fresh):
-            known[word] = array("I", [t.id for t in one(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-        rest = list(fresh.difference(known))
-        known.update(zip(rest, self._encoded(rest), strict=True))
-        self.chunks.update((chunk, known[word] + tail) for chunk, word, tail in split)
-
-    def _some(self, texts: list[str]) -> Iterator[bytes]:
-        odd = ["\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t for t in texts]
-        rows = [[] if o else t.split() if _BEYOND_LATIN.search(t) else t.lower().split() for t, o in zip(texts, odd, strict=True)]
-        self._learn(set(chain.from_iterable(rows)).difference(self.chunks))
-        for text, row, whole in zip(texts, rows, odd, strict=True):
-            yield self._encoded([text])[0] if whole else b"".join(map(self.chunks.__getitem__, row))
-
-
-def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS) -> DataFrame:
-    """One row per piece of at most `limit` tokens of each document, its end id included."""
+        for n, text in enumerate(texts):
+            if n % 256 == 0 and (len(self.words) > self.words_kept or len(self.chunks) > self.chunks_kept):
+                self.words.clear()
+                self.chunks.clear()
+            yield self._encoded(text) if _ODD_SPACE(text) else b"".join(map(self.chunks.__getitem__, _lowered(text).split()))
+
+    def learn(self, chunk: str) -> bytes:
+        """The ids of a chunk between spaces that is not known yet."""
+        word, tail = chunk, b""
+        if chunk[-1] in self.tails and "a" <= chunk[-2:-1] <= "ÿ" and chunk[-2].isalpha():
+            word, tail = chunk[:-1], self.tails[chunk[-1]]
+        ids = self.words.get(word)
+        if ids is None:
+            if _PLAIN(word):
+                ids = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                ids = self._encoded(word)
+            self.words[word] = ids
+        return ids + tail if tail else ids
+
+
+class _Chunks(dict):
+    """Ids by chunk; one that is missing is learnt as it is looked up, so a text is gone over once."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case where Python's is the tokenizer's, which is for characters up to U+024F but U+0130."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")  # far faster than a search
+        except UnicodeEncodeError:
+            if _BEYOND_LATIN.search(text):
+                return text
+    return text.lower()
+
+
+def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS, between_tasks: bool = True) -> DataFrame:
+    """One row per piece of at most `limit` tokens of each document, its end id included; a worker keeps its words for its next task only with `between_tasks`."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +145,9 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        if not between_tasks:
+            del encode
+            release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc_id {id_type}, {PIECES}")
 
@@ -257,7 +273,7 @@ def _packed(frame: pd.DataFrame, limit: int, settle: int) -> pd.DataFrame:
     return frame
 
 
-def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", bucket_pieces: int = 2048, merge_buckets: int = 16, words_kept: int = WORDS) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", bucket_pieces: int = 2048, merge_buckets: int = 16, words_kept: int = WORDS, between_tasks: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     A worker keeps the ids of `words_kept` words, about 300 bytes each.  Only
@@ -266,7 +282,7 @@ def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, end_id: int = 0,
     as many in the second.
     """
     scratch = Scratch(docs.sparkSession)
-    cut = pieces(docs, tokenizer, limit, end_id, id_col, text_col, words_kept)
+    cut = pieces(docs, tokenizer, limit, end_id, id_col, text_col, words_kept, between_tasks)
     cut = scratch.keep(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     buckets = max(1, -(-cut.count() // bucket_pieces))
     fields = f"{cut.schema['doc_id'].dataType.simpleString()}, {PIECES}, uid long, bucket int, sequence_id long, offset long, settled boolean"

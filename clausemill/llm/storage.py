@@ -10,24 +10,31 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where it is unset and everything runs in one process, as in tests, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="clausemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def whole_row(docs: DataFrame) -> Column:
-    """All columns as one, with fields c0, c1, ...: no name can clash or need quoting while the row is carried along."""
-    quoted = [c.replace("`", "``") for c in docs.columns]
-    return F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(quoted)])
+def whole_row(docs: DataFrame, apart: str) -> Column:
+    """All columns but the one named, which goes beside them, as one with fields c0, c1, ...: no name can clash or need quoting while the row is carried along."""
+    quoted = [(n, c.replace("`", "``")) for n, c in enumerate(docs.columns) if c != apart]
+    return F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in quoted])
+
+
+def carried(docs: DataFrame, name: str) -> Column:
+    """A column out of a carried `row`."""
+    return F.col("row")[f"c{docs.columns.index(name)}"]
 
 
 def restored(docs: DataFrame, **changed: Column) -> list[Column]:
-    """The columns of `docs` out of a carried `row`, some changed."""
-    return [(changed[c] if c in changed else F.col("row")[f"c{n}"]).alias(c) for n, c in enumerate(docs.columns)]
+    """The columns of `docs` out of a carried `row`, some changed; the one that went apart must be among these."""
+    return [(changed[c] if c in changed else carried(docs, c)).alias(c) for c in docs.columns]
 
 
 class Scratch:

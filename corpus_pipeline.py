@@ -39,7 +39,7 @@ def drop_benchmark_hits(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token pieces of all texts into sequences of 2048."""
-    return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048, end_id=0, words_kept=400_000)
+    return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048, end_id=0, words_kept=400_000, between_tasks=False)
 
 
 STAGES = [
