@@ -8,8 +8,11 @@ whole.  Items of fewer than `window` words are one window of their own length,
 below what winnowing guarantees; those are looked up at every position.
 
 The items' index is sent to the executors only while their texts stay within
-`most_bytes`; more are taken in that many passes over the documents, whose
-hits are merged.
+`most_bytes`.  Larger sets are joined instead: the fingerprints and windows of
+the items become tables, bitmaps of fixed size of both leave out nearly all
+document windows that no item has, and the rest meet the items' windows in a
+join by hash.  Documents are read once in either case, and both give the same
+rows.
 
 Nulls and repeats: a null text has no words; an item with null id is not an
 item; items may share texts and ids; repeated document rows are answered one
@@ -22,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrays import _STEP, LOWER, U64, WORD, mix, release, slices, span_hashes, words
+from .arrays import _STEP, LOWER, U64, WORD, bounded, mix, slices, span_hashes, words
+from .prefilter import key_bits, maybe_in
 from .storage import Scratch, restored, whole_row
 
 _MASK = (1 << 20) - 1
@@ -129,29 +133,20 @@ class Index:
         return count, np.cumsum(change[:-1]) > 0, items, starts, ends
 
 
-def _indexes(items: DataFrame, k: int, window: int, most_bytes: int, id_col: str, text_col: str) -> tuple[int, Iterator[Index]]:
-    """(passes, the index of each); one index at a time is in memory."""
-    known = items.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item is not null")
-    size = known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    passes = max(1, -(-size // most_bytes))
-
-    def parts() -> Iterator[Index]:
-        for n in range(passes):
-            part = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == n) if passes > 1 else known
-            yield Index([tuple(r) for r in part.collect()], k, window)
-
-    return passes, parts()
+def _known(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item is not null")
 
 
-def _report(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
-    """The rows with words, hit words, items and hit spans (of words and bytes); and what the executors hold for that."""
+def _sent(docs: DataFrame, known: DataFrame, k: int, window: int) -> DataFrame:
+    """The rows with words, hit words, items and hit spans (of words and bytes), by an index that each executor gets."""
+    index = Index([tuple(r) for r in known.collect()], k, window)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    @bounded
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             n_words, n_hit, names, spans = [], [], [], []
-            for _, content, offsets in slices(batch.column(1)):
+            for _, content, offsets in slices(batch.column("text")):
                 count, hit, items, starts, ends = shared.value.scan(content, offsets)
                 begin = np.cumsum(count) - count
                 total = np.append(0, np.cumsum(hit))
@@ -167,11 +162,10 @@ def _report(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
                 names=[*batch.schema.names, "n_words", "n_hit", "items", "spans"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{kinds}, n_words long, n_hit long, items array<string>, spans array<struct<word: long, words: long, byte: long, bytes: long>>"), shared
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<word: long, words: long, byte: long, bytes: long>>").fields]))
 
 
-#: Sorted spans of several passes as maximal ones.
+#: Sorted spans as maximal ones.
 _JOINED = """aggregate(spans, cast(array() as array<struct<word: bigint, words: bigint, byte: bigint, bytes: bigint>>), (done, s) -> if(
     size(done) > 0 and element_at(done, -1).word + element_at(done, -1).words >= s.word,
         concat(slice(done, 1, size(done) - 1), array(named_struct(
@@ -180,49 +174,101 @@ _JOINED = """aggregate(spans, cast(array() as array<struct<word: bigint, words:
         concat(done, array(s))))"""
 
 
+def _keyed(value: np.ndarray, m: int) -> np.ndarray:
+    """The key of windows of m words by their hashes."""
+    with np.errstate(over="ignore"):
+        return mix(value + U64(m))
+
+
+def _met(docs: DataFrame, known: DataFrame, k: int, window: int, scratch: Scratch) -> DataFrame:
+    """What `_sent` gives, by joins of written tables."""
+
+    @bounded
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, content, offsets in slices(batch.column(1)):
+                content = LOWER[content]
+                starts, ends, rows = words(content, offsets, WORD)
+                hashes = span_hashes(content, starts, ends)
+                count = np.bincount(rows, minlength=len(offsets) - 1)
+                begin, out = np.cumsum(count) - count, []
+                for m in range(1, window):
+                    short = np.flatnonzero(count == m)
+                    out.append((short, grams(hashes, begin[short], m), np.full(len(short), m)))
+                at = np.flatnonzero(rows[: max(0, len(rows) - window + 1)] == rows[window - 1 :])
+                out.append((rows[at], grams(hashes, at, window), np.full(len(at), window)))
+                place, value = winnow(hashes, rows, k, window)
+                out.append((rows[place], value, np.zeros(len(place), np.int64)))
+                row, value, m = (np.concatenate(c) for c in zip(*out, strict=True))
+                with np.errstate(over="ignore"):
+                    key = np.where(m > 0, mix(value + m.astype(U64)), value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first)), pa.array(m, pa.int32()), pa.array(key.view(np.int64))], names=["item", "m", "key"])
+
+    parts = scratch.keep(known.mapInArrow(cut, "item string, m int, key long").distinct(), "items")
+    prints = docs.sparkSession.sparkContext.broadcast(key_bits(parts.where("m = 0").select("key")))
+    wholes = docs.sparkSession.sparkContext.broadcast(key_bits(parts.where("m > 0").select("key")))
+    lengths = sorted(r["m"] for r in parts.where("m > 0").select("m").distinct().collect())
+
+    @bounded
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("key", pa.int64()), *((f, pa.int64()) for f in ("word", "words", "byte", "bytes"))]))
+        for batch in batches:
+            n_words, found = [], []
+            for _, content, offsets in slices(batch.column("text")):
+                content = LOWER[content]
+                starts, ends, rows = words(content, offsets, WORD)
+                hashes = span_hashes(content, starts, ends)
+                count = np.bincount(rows, minlength=len(offsets) - 1)
+                begin, mine = np.cumsum(count) - count, [[] for _ in range(len(count))]
+                for m in lengths:
+                    whole = len(rows) - m + 1
+                    if whole <= 0:
+                        continue
+                    at = np.arange(whole)
+                    if m == window:
+                        place, value = winnow(hashes, rows, k, m)
+                        place = place[maybe_in(prints.value, value.view(np.int64))]
+                        at = np.unique((place[:, None] - np.arange(m - k + 1)).ravel())
+                        at = at[(at >= 0) & (at < whole)]
+                    at = at[rows[at] == rows[at + m - 1]]
+                    key = _keyed(grams(hashes, at, m), m).view(np.int64)
+                    near = maybe_in(wholes.value, key)
+                    for x, p, r in zip(key[near].tolist(), at[near].tolist(), rows[at[near]].tolist(), strict=True):
+                        mine[r].append({"key": x, "word": p - int(begin[r]), "words": m, "byte": int(starts[p] - offsets[r]), "bytes": int(ends[p + m - 1] - starts[p])})
+                n_words += count.tolist()
+                found += mine
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(found, kind)], names=[*batch.schema.names, "n_words", "found"])
+
+    base = docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_words long, found array<struct<key: long, word: long, words: long, byte: long, bytes: long>>").fields]))
+    base = scratch.keep(base.withColumn("uid", F.monotonically_increasing_id()), "base")
+    hits = base.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
+    sure = scratch.keep(hits.join(parts.where("m > 0").select("key", F.col("m").cast("long").alias("words")).distinct(), ["key", "words"]), "hits")
+    spans = sure.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("word", "words", "byte", "bytes"))).alias("spans")).withColumn("spans", F.expr(_JOINED))
+    names = sure.select("uid", "key").distinct().join(parts.where("m > 0").select("key", "item"), "key").groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = base.drop("found").join(spans, "uid", "left").join(names, "uid", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.words)")).select(*docs.columns, "n_words", "n_hit", "items", "spans")
+
+
+def _reported(docs: DataFrame, items: DataFrame, gram: int, window: int, most_bytes: int, item_col: str, item_text_col: str) -> DataFrame:
+    known = _known(items, item_col, item_text_col)
+    size = known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    return _sent(docs, known, gram, window) if size <= most_bytes else _met(docs, known, gram, window, Scratch(docs.sparkSession))
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, gram: int = 5, window: int = 10, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids with an occurring window), spans (maximal runs of hit words and their bytes)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    passes, indexes = _indexes(items, gram, window, most_bytes, item_col, item_text_col)
-    if passes == 1:
-        return _report(named, next(indexes))[0].drop("text")
-    scratch = Scratch(docs.sparkSession)
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.xxhash64("text").alias("k2"), F.coalesce(F.length("text"), F.lit(-1)).alias("k3")]
-    base = merged = None
-    for n, index in enumerate(indexes):
-        report, shared = _report(named, index)
-        base = scratch.keep(report.select("doc_id", "n_words", *key), "base") if base is None else base
-        part = scratch.keep(report.where("n_hit > 0").select(*key, "items", "spans"), f"hits-{n}")
-        shared.destroy()
-        merged = part if merged is None else merged.unionByName(part)
-    merged = merged.groupBy("k1", "k2", "k3").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
-    base = base.join(merged, ["k1", "k2", "k3"], "left")
-    out = base.withColumn("spans", F.coalesce(F.expr(_JOINED), F.array())).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.words)"))
-    return out.select("doc_id", "n_words", "n_hit", "items", "spans")
-
-
-def remove_hits(docs: DataFrame, items: DataFrame, *, most_share: float = 0.5, text_col: str = "text", id_col: str = "doc_id", **settings) -> DataFrame:
+    return _reported(named, items, gram, window, most_bytes, item_col, item_text_col).select("doc_id", "n_words", "n_hit", "items", "spans")
+
+
+def remove_hits(docs: DataFrame, items: DataFrame, *, most_share: float = 0.5, text_col: str = "text", gram: int = 5, window: int = 10, most_bytes: int = 64 << 20, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents without the hit spans of their texts; one of which more than `most_share` is hit goes whole.
 
     Rows without hits keep every column as it is.  `spans` is in bytes, so the
     text is cut as binary and decoded again; words never split a character.
     """
-    scratch = Scratch(docs.sparkSession)
-    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), whole_row(docs).alias("row"))
-    passes, indexes = _indexes(items, settings.get("gram", 5), settings.get("window", 10), settings.get("most_bytes", 64 << 20), settings.get("item_col", "item_id"), settings.get("item_text_col", "text"))
-    if passes == 1:
-        report = _report(packed, next(indexes))[0]
-    else:  # the spans of all parts of the items, each found in the whole text
-        key = [F.xxhash64("text").alias("k1"), F.coalesce(F.length("text"), F.lit(-1)).alias("k2")]
-        base = merged = None
-        for n, index in enumerate(indexes):
-            report, shared = _report(packed, index)
-            base = scratch.keep(report.select("text", "row", "n_words", *key), "base") if base is None else base
-            part = scratch.keep(report.where("n_hit > 0").select(*key, "spans"), f"hits-{n}")
-            shared.destroy()
-            merged = part if merged is None else merged.unionByName(part)
-        merged = merged.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")).withColumn("spans", F.expr(_JOINED))
-        report = base.join(merged, ["k1", "k2"], "left").withColumn("n_hit", F.coalesce(F.expr("aggregate(spans, 0L, (n, s) -> n + s.words)"), F.lit(0)))
+    packed = docs.select(F.col(text_col).alias("text"), whole_row(docs, text_col).alias("row"))
+    report = _reported(packed, items, gram, window, most_bytes, item_col, item_text_col)
     found = report.where(F.col("n_hit") <= most_share * F.col("n_words"))
     kept = F.expr("""decode(unhex(array_join(transform(sequence(0, size(spans)), i -> hex(substring(cast(text as binary),
         cast(if(i = 0, 0L, spans[i - 1].byte + spans[i - 1].bytes) as int) + 1,
