@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import LOWER, NOT_SPACE, U64, mix, release, row_sums, shingles, slices, span_hashes, words
+from .arrays import LOWER, NOT_SPACE, U64, bounded, mix, packed, row_sums, shingles, slices, span_hashes, unpacked, words
 from .components import connected
 from .prefilter import key_bits, maybe_in
-from .storage import Scratch, restored, whole_row
+from .storage import Scratch, carried, restored, whole_row
 
+#: Shingles of all documents for each part that one task merges.
+PART_SHINGLES = 8_000_000
 POSTING = "shingle long, fp long, n int, pos int, light int"
 _KINDS = {"shingle": U64, "fp": U64, "n": np.uint32, "pos": np.uint32, "light": np.uint32}
 
@@ -117,8 +119,8 @@ def heavy_lists(docs: DataFrame, k: int, parts: int, heavy: int, most_heavy: int
     counts as sorted runs, not row by row.
     """
 
+    @bounded
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
@@ -137,6 +139,7 @@ def heavy_lists(docs: DataFrame, k: int, parts: int, heavy: int, most_heavy: int
         if held:
             yield flush()
 
+    @bounded
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, times = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for batch in batches:
@@ -151,7 +154,7 @@ def heavy_lists(docs: DataFrame, k: int, parts: int, heavy: int, most_heavy: int
         much = sums >= heavy
         yield pa.RecordBatch.from_arrays([pa.array(all_buckets[begin[much]], pa.int64()), pa.array(sums[much], pa.int64())], names=["bucket", "df"])
 
-    counted = _text(docs).mapInArrow(count, _BLOCKS).repartition(parts, "part").mapInArrow(total, "bucket long, df long")
+    counted = _text(docs).mapInArrow(count, _BLOCKS).repartitionById(parts, F.col("part")).mapInArrow(total, "bucket long, df long")
     counted = scratch.keep(counted, "heavy")
     longest = counted.groupBy("df").count().orderBy(F.desc("df"))
     least, taken = 1 << 62, 0
@@ -171,8 +174,8 @@ def short_lists(docs: DataFrame, k: int, percent: int, least_short: int, parts:
     """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
+    @bounded
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         bucket, df = shared.value
         seen: set[int] = set()
         held: list[list[np.ndarray]] = []
@@ -213,6 +216,7 @@ def short_lists(docs: DataFrame, k: int, percent: int, least_short: int, parts:
         if held:
             yield flush()
 
+    @bounded
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = []
         for batch in batches:
@@ -239,13 +243,14 @@ def short_lists(docs: DataFrame, k: int, percent: int, least_short: int, parts:
             part = [c[at : at + 50_000] for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U64 else c.astype(np.int32)) for c in part], names=list(_KINDS))
 
-    return _text(docs).mapInArrow(post, _BLOCKS).repartition(parts, "part").mapInArrow(merge, POSTING)
+    return _text(docs).mapInArrow(post, _BLOCKS).repartitionById(parts, F.col("part")).mapInArrow(merge, POSTING)
 
 
 def class_texts(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     """fp, text of the first document of each class in each task, but for most of those that the bitmap tells are not wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+    @bounded
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -253,12 +258,12 @@ def class_texts(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
                 value, row = row_sets(content, offsets, k)
                 fp = fingerprints(value, row, len(offsets) - 1)[1]
                 at = np.flatnonzero(_new(fp, seen) & maybe_in(shared.value, fp.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), batch.column(0).take(pa.array(at + row0))], names=["fp", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), packed(batch.column(0).take(pa.array(at + row0)))], names=["fp", "text"])
 
-    return _text(docs).mapInArrow(first, "fp long, text string")
+    return _text(docs).mapInArrow(first, "fp long, text binary")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str, most: int = 256) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str, most: int = 64) -> DataFrame:
     """Those (a, b) whose sets reach the similarity.
 
     Texts are read again and only those of classes in a pair are sent.  Each b
@@ -271,17 +276,18 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
     dealt = scratch.keep(dealt, f"{name}-dealt")
     ours = dealt.select("a", "run").distinct().select("a", "run", F.lit(0).alias("other"), F.col("a").alias("fp"))
     theirs = dealt.select("a", "run", F.lit(1).alias("other"), F.col("b").alias("fp"))
-    texts = class_texts(docs, k, key_bits(pairs.select(F.explode(F.array("a", "b")))))
+    # one text a class, though each task that has one sends it; the aggregate leaves them where the join needs them
+    texts = class_texts(docs, k, key_bits(pairs.select(F.explode(F.array("a", "b"))))).dropDuplicates(["fp"])
     met = ours.unionByName(theirs).join(texts, "fp").select("a", "run", "other", F.col("fp").alias("b"), "text")
     met = met.repartition("a", "run").sortWithinPartitions("a", "run", "other", "b")
 
+    @bounded
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         whose, mine = None, np.zeros(0, U64)
         for batch in batches:
             a, other, b = (batch.column(i).to_numpy() for i in (0, 2, 3))
             found = []
-            for row0, content, offsets in slices(batch.column(4)):
+            for row0, content, offsets in slices(unpacked(batch.column(4))):
                 value, row = row_sets(content, offsets, k)
                 begin = np.searchsorted(row, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
@@ -301,10 +307,9 @@ def _solved(named: DataFrame, scratch: Scratch, k: int, percent: int, heavy: int
     """(doc_id, n_shingles, fp of every row; node, component of every class that links)."""
     spark = named.sparkSession
     id_type = named.schema["doc_id"].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @bounded
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             found = [fingerprints(*row_sets(content, offsets, k), len(offsets) - 1) for _, content, offsets in slices(batch.column(1))]
             if found:
@@ -312,6 +317,8 @@ def _solved(named: DataFrame, scratch: Scratch, k: int, percent: int, heavy: int
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "n_shingles", "fp"])
 
     rows = scratch.keep(named.mapInArrow(sets, f"doc_id {id_type}, n_shingles long, fp long"), "rows")
+    # a task merges the runs of one part in memory, so the parts grow with the shingles
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum("n_shingles")).first()[0] or 0) // PART_SHINGLES))
     posted = short_lists(named, k, percent, least_short, parts, heavy_lists(named, k, parts, heavy, most_heavy, scratch))
     posted = scratch.keep(posted, "posted")
 
@@ -389,14 +396,15 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
     classes = classes.join(final, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     best = scratch.keep(classes.groupBy("component").agg(F.min(F.struct("least", "fp")).alias("b")).select("b.fp", F.col("b.least.doc_id").alias("stay")), "best")
 
+    @bounded
     def with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprints(*row_sets(content, offsets, k), len(offsets) - 1)[1] for _, content, offsets in slices(batch.column("text"))]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("row")], names=["fp", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("text"), batch.column("row")], names=["fp", "text", "row"])
 
-    packed = docs.select(F.col(text_col).alias("text"), whole_row(docs).alias("row"))
-    printed = packed.mapInArrow(with_print, f"fp long, row {packed.schema['row'].dataType.simpleString()}")
+    whole = docs.select(F.col(text_col).alias("text"), whole_row(docs, text_col).alias("row"))
+    printed = whole.mapInArrow(with_print, T.StructType([T.StructField("fp", T.LongType()), *whole.schema.fields]))
     # rows whose class and id are surely none of those that go stay where they are; the others meet the exact list
     name = F.xxhash64("fp", "doc_id")
     goes = rows.where("n_shingles > 0").join(best.withColumnRenamed("fp", "bfp"), (F.col("fp") == F.col("bfp")) & F.col("doc_id").eqNullSafe(F.col("stay")), "left")
@@ -406,13 +414,13 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe_in(bits.value, batch.column(0).to_numpy()))], names=["k", "fp", "row", "doubt"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe_in(bits.value, batch.column(0).to_numpy()))], names=["k", "fp", "text", "row", "doubt"])
 
-    mine = printed.where("fp <> 0").select(F.xxhash64("fp", F.col("row")[f"c{docs.columns.index(id_col)}"]).alias("k"), "fp", "row")
+    mine = printed.where("fp <> 0").select(F.xxhash64("fp", carried(docs, id_col)).alias("k"), "fp", "text", "row")
     mine = mine.mapInArrow(marked, T.StructType([*mine.schema.fields, T.StructField("doubt", T.BooleanType())]))
-    sure = mine.where("not doubt").select("fp", "row")
+    sure = mine.where("not doubt").select("fp", "text", "row")
     # the id is a key of the join as well, so a large class of copies is dealt over all tasks
-    open_rows = mine.where("doubt").withColumn("id", F.col("row")[f"c{docs.columns.index(id_col)}"]).alias("m")
-    kept = open_rows.join(best.alias("b"), (F.col("m.fp") == F.col("b.fp")) & F.col("m.id").eqNullSafe(F.col("b.stay"))).select("m.fp", "row").dropDuplicates(["fp"])
-    kept = sure.unionByName(kept)
-    return kept.select("row").unionByName(printed.where("fp = 0").select("row")).select(*restored(docs))
+    open_rows = mine.where("doubt").withColumn("id", carried(docs, id_col)).alias("m")
+    kept = open_rows.join(best.alias("b"), (F.col("m.fp") == F.col("b.fp")) & F.col("m.id").eqNullSafe(F.col("b.stay"))).select("m.fp", "text", "row").dropDuplicates(["fp"])
+    kept = sure.unionByName(kept).unionByName(printed.where("fp = 0"))
+    return kept.select(*restored(docs, **{text_col: F.col("text")}))
