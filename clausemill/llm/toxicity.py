@@ -1,23 +1,26 @@
 """Toxicity by compression distance between two Zstandard dictionaries.
 
 One dictionary is trained on words of ordinary documents, the other on those
-parts of the words of toxic documents that ordinary ones do not use.  Both are raw content,
-and the toxic one is laid in front of the ordinary one, so windows without
-toxic content compress to exactly the same length under both.  A document is
-cut into windows of `window_words` words; by how many bytes each is shorter
-under the toxic side gives the document's features, whose weights and
-threshold are calibrated on labelled documents that trained neither dictionary; both are trained anew on all of the
+parts of the words of toxic documents that are `TELLING` times as frequent
+there as in ordinary ones.  Both are raw content, and the toxic one is laid in
+front of the ordinary one, so windows without toxic content compress to exactly
+the same length under both.  A document is cut into windows of `window_words`
+words; by how many bytes each is shorter under the toxic side gives the
+document's features, whose weights and threshold are calibrated on labelled
+documents that trained neither dictionary; both are trained anew on all of the
 sample after that.
 
-The model is fitted on at most `sample` labels of either kind, those of least
-hash of their ids, and at most `sample_chars` characters of each text; ids pick
-the sample and are no input of a score.  Every document is then scored on its
-whole text.
+The model is fitted on at most `sample` labelled documents of either kind,
+those of least hash of their ids, by their whole texts; ids pick the sample and
+are no input of a score.  What the driver gets of a sampled text is its
+distinct words and its features.  Every document is then scored on its whole
+text.
 
 Nulls and repeats: a null or empty text has no windows and gets the score that
 calibration gives to none; null labels train nothing; a document labelled twice
-counts twice; with fewer than two documents of a label the score is the share
-of toxic labels; empty tables give no rows.
+alike counts once; of rows of one id the least text is its text; with fewer
+than two documents of a label, or none of it left for calibration, the score is
+the share of toxic labels; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bounded
+from .storage import Scratch
+
 LETTERS = regex.compile(r"\p{L}+")
 LEVEL = 12
 GRAM = 5
+#: A part of words tells if toxic documents have it so many times as often as ordinary ones.
+TELLING = 40
 
 
 @dataclass
@@ -131,50 +139,71 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return b"".join(samples)[-size:]
 
 
-def _dictionaries(texts: dict[int, list[str]], ordinary_bytes: int, toxic_bytes: int) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) content.
+def _parts_of(texts: list[list[str]]) -> Counter[str]:
+    """In how many texts each 5-character part of words is."""
+    return Counter(g for words in texts for g in {g for w in words for g in _grams(w)})
+
+
+def _dictionaries(texts: dict[int, list[list[str]]], ordinary_bytes: int, toxic_bytes: int) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) content, from the distinct words of each text by label.
 
-    The toxic one is trained on the parts of words that several toxic texts
-    have and no ordinary one, so it hardly ever helps ordinary windows.
+    The toxic one is trained on the telling parts of the words of toxic texts,
+    so it hardly ever helps ordinary windows.  A few ordinary texts that have
+    such a part don't take it away.
     """
     rng = np.random.default_rng(17)
-    ordinary_words = [_distinct_words(t) for t in texts[0]]
-    toxic_words = [_distinct_words(t) for t in texts[1]]
-    usual = {g for words in ordinary_words for w in words for g in _grams(w)}
-    often = Counter(g for words in toxic_words for g in {g for w in words for g in _grams(w)} if g not in usual)
+    ordinary, toxic = (_parts_of(texts[label]) for label in (0, 1))
     enough = max(2, 0.004 * len(texts[1]))
-    keep = {g for g, n in often.items() if n >= enough}
-    toxic = _bags(([r for w in words for r in _runs(w, keep)] for words in toxic_words), rng, "")
-    return _dictionary(_bags(ordinary_words, rng, " "), ordinary_bytes), _dictionary(toxic, toxic_bytes)
+    keep = {g for g, n in toxic.items() if n >= enough and n * len(texts[0]) >= TELLING * (ordinary[g] + 0.1) * len(texts[1])}
+    telling = _bags(([r for w in words for r in _runs(w, keep)] for words in texts[1]), rng, "")
+    return _dictionary(_bags(texts[0], rng, " "), ordinary_bytes), _dictionary(telling, toxic_bytes)
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int, sample_chars: int) -> tuple[dict[int, list[tuple[str, bool]]], float]:
-    """({label: (text, whether it trains a dictionary)}, share of toxic labels); only ids are ordered, only sampled texts sent."""
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int, scratch: Scratch) -> tuple[DataFrame, float]:
+    """(label, h, id, text of the sampled documents, as a written table; the share of toxic labels)."""
     known = labels.select("id", F.col("label").cast("int").alias("label"), F.xxhash64("id").alias("h")).where("id is not null and label in (0, 1)")
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    picked: dict[int, list[tuple[str, bool]]] = {0: [], 1: []}
-    ids = known.where("label = 0").orderBy("h", "id").limit(sample).unionByName(known.where("label = 1").orderBy("h", "id").limit(sample))
-    met = docs.select("id", F.substring("text", 1, sample_chars).alias("text")).where("text is not null").join(F.broadcast(ids), "id")
-    for row in met.orderBy("label", "h", "id", "text").limit(4 * sample).collect():
-        picked[row["label"]].append((row["text"], row["h"] % 5 < 3))
-    return picked, totals.get(1, 0) / max(1, sum(totals.values()))
+    each = known.distinct()
+    ids = each.where("label = 0").orderBy("h", "id").limit(sample).unionByName(each.where("label = 1").orderBy("h", "id").limit(sample))
+    met = docs.select("id", "text").where("text is not null").join(F.broadcast(ids), "id").groupBy("label", "h", "id").agg(F.min("text").alias("text"))
+    return scratch.keep(met, "sample"), totals.get(1, 0) / max(1, sum(totals.values()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, sample_chars: int = 20_000, window_words: int = 5, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 2 << 10) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, window_words: int = 5, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 2 << 10) -> Model:
     """A model from documents (id, text) and labels (id, label; 1: toxic)."""
-    picked, share = _sampled(docs, labels, sample, sample_chars)
+    scratch = Scratch(docs.sparkSession)
+    chosen, share = _sampled(docs, labels, sample, scratch)
+    named = chosen.select("label", "h", F.xxhash64("id", "h").alias("second"), "text")
+
+    @bounded
+    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_distinct_words(t.as_py()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], names=["label", "h", "second", "words"])
+
+    rows = sorted(named.mapInArrow(vocabulary, "label int, h long, second long, words array<string>").collect(), key=lambda r: (r["label"], r["h"], r["second"]))
+    picked = {label: [(r["words"], r["h"] % 5 < 3) for r in rows if r["label"] == label] for label in (0, 1)}
     if min(map(len, picked.values())) < 2:
+        scratch.drop("sample")
         return Model(b"", b"", np.zeros(0), window_words, share)
-    train = {label: [t for t, first in rows if first] or [rows[0][0]] for label, rows in picked.items()}
-    rest = {label: [t for t, first in rows if not first] or [rows[-1][0]] for label, rows in picked.items()}
+    train = {label: [w for w, first in some if first] or [some[0][0]] for label, some in picked.items()}
     model = Model(*_dictionaries(train, ordinary_bytes, toxic_bytes), np.zeros(0), window_words, share)
-    compressors = model.compressors()
-    x = np.array([features(gains(t, window_words, compressors)) for label in (0, 1) for t in rest[label]])
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
-    weights = _fitted(x, y, weight)
+
+    @bounded
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for batch in batches:
+            found = [features(gains(t.as_py(), window_words, compressors)) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.float64()))], names=["label", "h", "second", "x"])
+
     # calibrated on what trained neither dictionary; both are then trained on all of the sample
-    everything = {label: [t for t, _ in rows] for label, rows in picked.items()}
+    given = sorted(named.where(F.pmod("h", F.lit(5)) >= 3).mapInArrow(described, "label int, h long, second long, x array<double>").collect(), key=lambda r: (r["label"], r["h"], r["second"]))
+    scratch.drop("sample")
+    x, y = np.array([r["x"] for r in given]), np.array([float(r["label"]) for r in given])
+    if len(set(y.tolist())) < 2:
+        return Model(b"", b"", np.zeros(0), window_words, share)
+    weights = _fitted(x, y, np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y))
+    everything = {label: [words for words, _ in some] for label, some in picked.items()}
     return Model(*_dictionaries(everything, ordinary_bytes, toxic_bytes), weights, window_words, share)
 
 
@@ -182,6 +211,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """doc_id, score (0 to 1), most_saved (bytes, of one window), n_windows of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @bounded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if len(model.weights) else []
         for batch in batches:
