@@ -5,7 +5,9 @@ choose spans that start and end at turns: a span begins at the first turn that
 no longer fits into the room left by the system turn and the history.  A turn
 that is too long by itself is a span of its own, never cut.  Each window holds
 the system turn (of the conversation's start), up to `history_turns` earlier
-turns within `history_budget`, and its own span.  Repeated turns are marked as
+turns within `history_budget`, and its own span.  Which turns a window holds is
+found from numbers alone; only then are turns and windows joined, so a long
+conversation is never carried along once for each of its windows.  Repeated turns are marked as
 such and never under the loss mask, so each assistant turn is a target once.
 
 Each turn is written as `<s>[INST] role[/INST]text</s>`.  Inside roles and texts
@@ -51,26 +53,30 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history_turns: int =
     ).withColumn("cost", (F.regexp_count("text", F.lit(_WORDS)) + mark_cost).cast("long"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("prefix", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text", "cost", "prefix"))).alias("t"))
-    convs = convs.withColumn("first", F.when(F.expr("t[0].role = 'system'"), 2).otherwise(1))
-    convs = convs.withColumn("room", F.lit(budget - history_budget) - F.expr("if(first = 2, t[0].cost, 0L)"))
-    convs = convs.withColumn(
+    # numbers only decide which turns are in which window; texts meet their windows after that, turn by turn
+    light = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cost", "prefix"))).alias("t"), F.min_by(F.struct("role", "cost"), "pos").alias("head"))
+    light = light.withColumn("first", F.when(F.col("head.role") == "system", 2).otherwise(1))
+    light = light.withColumn("room", F.lit(budget - history_budget) - F.when(F.col("first") == 2, F.col("head.cost")).otherwise(F.lit(0)))
+    light = light.withColumn(
         "starts",
         F.expr("""aggregate(slice(t, first, size(t)), named_struct('starts', cast(array() as array<int>), 'base', 0L),
             (a, x) -> if(size(a.starts) = 0 or x.prefix - a.base > room,
                          named_struct('starts', array_append(a.starts, x.pos), 'base', x.prefix - x.cost), a),
             a -> if(size(a.starts) = 0, array(first), a.starts))"""),
     )
-    spans = convs.select("conv_id", "t", "first", "starts", F.posexplode("starts").alias("window", "start"))
-    head = F.expr("if(first = 2, transform(slice(t, 1, 1), x -> named_struct('role', x.role, 'text', x.text, 'cost', x.cost, 'again', window > 0)), cast(array() as array<struct<role: string, text: string, cost: bigint, again: boolean>>))")
-    back = F.expr(f"""transform(filter(slice(t, greatest(first, start - {history_turns}), greatest(0, start - greatest(first, start - {history_turns}))),
-        x -> t[start - 2].prefix - x.prefix + x.cost <= {history_budget}), x -> named_struct('role', x.role, 'text', x.text, 'cost', x.cost, 'again', true))""")
-    own = F.expr("transform(slice(t, start, coalesce(get(starts, window + 1), size(t) + 1) - start), x -> named_struct('role', x.role, 'text', x.text, 'cost', x.cost, 'again', false))")
-    made = spans.select("conv_id", "window", F.concat(head, back, own).alias("turns"))
-    made = made.withColumn(
-        "turns",
-        F.transform("turns", lambda x: F.struct(F.concat(F.lit("<s>[INST] "), escape(x["role"]), F.lit("[/INST]")).alias("before"), escape(x["text"]).alias("body"), x["again"].alias("again"), ((x["role"] == "assistant") & ~x["again"]).alias("target"), x["cost"].alias("cost"))),
-    )
+    member = "array<struct<pos: int, again: boolean>>"
+    windows = F.expr(f"""transform(starts, (start, window) -> named_struct('window', window, 'members', concat(
+        if(first = 2, array(named_struct('pos', 1, 'again', window > 0)), cast(array() as {member})),
+        transform(filter(slice(t, greatest(first, start - {history_turns}), greatest(0, start - greatest(first, start - {history_turns}))),
+            x -> t[start - 2].prefix - x.prefix + x.cost <= {history_budget}), x -> named_struct('pos', x.pos, 'again', true)),
+        if(start > size(t), cast(array() as {member}),
+            transform(sequence(start, coalesce(get(starts, window + 1), size(t) + 1) - 1), pos -> named_struct('pos', pos, 'again', false))))))""")
+    members = light.select("conv_id", F.explode(windows).alias("w")).select("conv_id", "w.window", F.explode("w.members").alias("m")).alias("x")
+    met = members.join(rows.alias("y"), F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("x.m.pos") == F.col("y.pos")))
+    turn = F.struct(
+        "pos", F.concat(F.lit("<s>[INST] "), escape(F.col("role")), F.lit("[/INST]")).alias("before"), escape(F.col("text")).alias("body"), F.col("m.again").alias("again"), ((F.col("role") == "assistant") & ~F.col("m.again")).alias("target"), "cost",
+    )
+    made = met.select("x.conv_id", "window", turn.alias("turn")).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     loss = F.expr("""aggregate(turns, named_struct('at', 1L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)),
         (a, x) -> named_struct('at', a.at + length(x.before) + length(x.body) + 4,
             'spans', if(x.target, array_append(a.spans, named_struct('start', a.at + length(x.before), 'length', cast(length(x.body) as bigint))), a.spans)),
