@@ -7,8 +7,9 @@ document that thereby loses all but `least_words` words, or all but
 `least_share` of its words, is depleted and rejected.
 
 Nulls and repeats: a null text has no words and fails the base rules; a null
-host is a host of its own; repeated rows are documents each; an empty table
-gives no rows.
+host is a host of its own; rows of one id count once towards a line's
+documents, rows without an id count each; every row has its own result; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,7 +123,14 @@ def judge(docs: DataFrame, *, most_docs: int = 20, most_share: float = 0.01, lea
     measured = scratch.keep(measured.withColumn("uid", F.monotonically_increasing_id()), "measured")
     lines = measured.select("uid", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select("uid", "host", F.col("l.lines").alias("line"), F.col("l.sizes").alias("words"))
     hosts = measured.groupBy("host").agg(F.count("*").alias("docs"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most_docs)
+    # rows bound documents from above, so few lines need their documents told apart
+    many = scratch.keep(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most_docs).select("host", "line"), "many")
+    named_rows = measured.select("uid", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\x00"), F.col("uid"))).alias("document"))
+    repeats = scratch.keep(named_rows.groupBy("document").agg(F.count("*").alias("n"), F.min("uid").alias("first")).where("n > 1").select("document", "first"), "repeats")
+    # a repeated document stands under its first row
+    first_of = named_rows.join(repeats, "document").select("uid", "first")
+    whose = lines.join(many, ["host", "line"]).join(first_of, "uid", "left").select("host", "line", F.coalesce("first", "uid").alias("document"))
+    often = whose.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most_docs)
     often = scratch.keep(often.join(hosts, "host").where(F.col("n") > most_share * F.col("docs")).select("host", "line"), "often")
     removed = lines.join(often, ["host", "line"]).groupBy("uid").agg(F.sum("words").alias("removed_words"))
     out = measured.drop("lines", "sizes").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
