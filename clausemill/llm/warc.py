@@ -15,8 +15,10 @@ Of records with equal payloads of at least `revisit_bytes`, that with the
 largest id is a response and the others revisit it.
 
 Nulls and repeats: a null payload is empty; a null url or id is written as an
-empty header; rows with one id are written each, and those with equal payloads
-take the same role; an empty table gives no bundle.
+empty header, and a row without an id, which no revisit could name, is always a
+response; rows with one id are written each, and those with equal payloads take
+the same role; ids of any type are written as text and read back as `id_type`;
+an empty table gives no bundle.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -40,9 +43,9 @@ SEEKABLE = 0x8F92EAB1
 BUNDLES = "bundle_id long, data binary, ids array<string>, frames array<int>, starts array<long>, lengths array<long>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def record(page_id: object, url: str | None, payload: bytes, digest: str, size: int, refers_to: object) -> bytes:
     """One WARC/1.1 record; a revisit has no payload of its own."""
-    name = "" if page_id is None else str(page_id)
+    name = "" if page_id is None else quote(str(page_id), safe="")
     kind = "response" if refers_to is None else "revisit"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head + (payload if refers_to is None else b"")
@@ -55,7 +58,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <urn:page:{quote(str(refers_to), safe='')}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -183,7 +186,7 @@ def index(bundles: DataFrame) -> DataFrame:
     return bundles.select("bundle_id", entries).select(F.col("e.ids").alias("record_id"), "bundle_id", F.col("e.frames").alias("frame"), F.col("e.starts").alias("start"), F.col("e.lengths").alias("length"))
 
 
-def read_records(bundles: DataFrame) -> DataFrame:
+def read_records(bundles: DataFrame, *, id_type: str = "long") -> DataFrame:
     """page_id, url, payload (null of a revisit), payload_bytes, payload_digest, record_type, refers_to, read back through the index."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,22 +196,23 @@ def read_records(bundles: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 for frame, start, length in zip(*(batch.column(i)[n].as_py() for i in (3, 4, 5)), strict=True):
                     top, http, payload = parse(reader.record(frame, start, length))
-                    page = top["WARC-Record-ID"][len("<urn:page:") : -1]
+                    page = unquote(top["WARC-Record-ID"][len("<urn:page:") : -1])
                     response = top["WARC-Type"] == "response"
                     digest = hashlib.sha1(payload).hexdigest() if response else base64.b32decode(top["WARC-Payload-Digest"][5:]).hex()
-                    other = None if response else int(top["WARC-Refers-To"][len("<urn:page:") : -1])
-                    rows.append((int(page) if page else None, top["WARC-Target-URI"], payload if response else None, len(payload) if response else int(http["Content-Length"]), digest, top["WARC-Type"], other))
+                    other = None if response else unquote(top["WARC-Refers-To"][len("<urn:page:") : -1])
+                    rows.append((page or None, top["WARC-Target-URI"], payload if response else None, len(payload) if response else int(http["Content-Length"]), digest, top["WARC-Type"], other))
                     if len(rows) >= 500:
                         yield _records(rows)
                         rows = []
                 if rows:
                     yield _records(rows)
 
-    return bundles.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = bundles.mapInArrow(read, "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
