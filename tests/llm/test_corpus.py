@@ -146,7 +146,9 @@ def test_passages_edge_cases(odd, none):
     rows = passages.find(odd).collect()
     assert {r["doc_id"] for r in rows} == {4, None}
     assert all(r["kept_doc_id"] == 4 for r in rows)
-    assert sorted(str(r["doc_id"]) for r in passages.remove(odd).select("doc_id").collect()) == ["1", "2", "4", "4", "5", "6", "7", "8"]
+    assert sorted(str(r["doc_id"]) for r in passages.remove(odd).select("doc_id").collect()) == ["1", "2", "4", "5", "6", "7", "8"]
+    nameless = odd.where("doc_id = 4 or doc_id is null").withColumn("doc_id", F.lit(None).cast("long"))
+    assert passages.remove(nameless).count() == 1 and passages.find(nameless).where("removed").count() == 2
     assert passages.remove(odd).columns == odd.columns
     assert passages.find(none).count() == 0 and passages.remove(none).count() == 0
 
@@ -365,6 +367,9 @@ def test_warc_bundle_is_plain_zstandard(spark, tmp_path):
     pages = spark.createDataFrame([(n, "u", "x" * 50) for n in range(30)], "page_id long, url string, html string")
     bundles = warc.write_bundles(pages, Scratch(spark), frame_bytes=500)
     files = warc.export(bundles, f"file://{tmp_path}").collect()
+    for f in files:  # by the footer alone
+        reader = warc.Reader(open(f["file"], "rb").read())
+        assert sum(reader.frame(n).count(b"WARC/1.1\r\n") for n in reversed(range(len(reader.frames)))) > 0
     text = b"".join(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(open(f["file"], "rb").read()), read_across_frames=True).read() for f in files)
     assert text.count(b"WARC/1.1\r\n") == 30
 
@@ -374,6 +379,9 @@ def test_warc_edge_cases(spark):
     out = warc.read_records(warc.write_bundles(pages, Scratch(spark))).collect()
     assert sorted((str(r["page_id"]), r["record_type"]) for r in out) == [("1", "response"), ("1", "response"), ("None", "response"), ("None", "response")]
     assert warc.write_bundles(pages.limit(0), Scratch(spark)).count() == 0
+    named = spark.createDataFrame([("b\r\n>", "u", "y" * 1200), ("a", "u", "y" * 1200)], "page_id string, url string, html string")
+    out = warc.read_records(warc.write_bundles(named, Scratch(spark)), id_type="string").collect()
+    assert {r["page_id"]: r["refers_to"] for r in out} == {"b\r\n>": None, "a": "b\r\n>"}
 
 
 # --- 9 n-gram join
