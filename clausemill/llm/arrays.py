@@ -96,6 +96,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: Bytes of texts at once where a worker holds much besides; hashing them takes some forty times as many.
+FEW_BYTES = 250_000
+
+
 def slices(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about `most` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -34,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import LOWER, NOT_SPACE, U64, bounded, mix, packed, row_sums, shingles, slices, span_hashes, unpacked, words
+from .arrays import FEW_BYTES, LOWER, NOT_SPACE, U64, bounded, mix, packed, row_sums, shingles, slices, span_hashes, unpacked, words
 from .components import connected
 from .prefilter import key_bits, maybe_in
-from .storage import Scratch, carried, restored, whole_row
+from .storage import BATCH_ROWS, Scratch, carried, restored, whole_row
 
 #: Shingles of all documents for each part that one task merges.
 PART_SHINGLES = 8_000_000
@@ -130,7 +130,7 @@ def heavy_lists(docs: DataFrame, k: int, parts: int, heavy: int, most_heavy: int
             return _blocks((bucket.astype(U64) * U64(parts) >> U64(32)).astype(np.int32), [bucket, times.astype(np.uint32)])
 
         for batch in batches:
-            for _, content, offsets in slices(batch.column(0)):
+            for _, content, offsets in slices(batch.column(0), FEW_BYTES):
                 value, row = row_sets(content, offsets, k)
                 fresh = _new(fingerprints(value, row, len(offsets) - 1)[1], seen)
                 held.append((value[fresh[row]] >> U64(32)).astype(np.uint32))
@@ -186,7 +186,7 @@ def short_lists(docs: DataFrame, k: int, percent: int, least_short: int, parts:
             return _blocks(columns[0].astype(np.int32), columns[1:])
 
         for batch in batches:
-            for _, content, offsets in slices(batch.column(0)):
+            for _, content, offsets in slices(batch.column(0), FEW_BYTES):
                 value, row = row_sets(content, offsets, k)
                 size, fp = fingerprints(value, row, len(offsets) - 1)
                 fresh = _new(fp, seen)[row]
@@ -254,7 +254,7 @@ def class_texts(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for row0, content, offsets in slices(batch.column(0)):
+            for row0, content, offsets in slices(batch.column(0), FEW_BYTES):
                 value, row = row_sets(content, offsets, k)
                 fp = fingerprints(value, row, len(offsets) - 1)[1]
                 at = np.flatnonzero(_new(fp, seen) & maybe_in(shared.value, fp.view(np.int64)))
@@ -287,7 +287,7 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
         for batch in batches:
             a, other, b = (batch.column(i).to_numpy() for i in (0, 2, 3))
             found = []
-            for row0, content, offsets in slices(unpacked(batch.column(4))):
+            for row0, content, offsets in slices(unpacked(batch.column(4)), FEW_BYTES):
                 value, row = row_sets(content, offsets, k)
                 begin = np.searchsorted(row, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
@@ -311,7 +311,7 @@ def _solved(named: DataFrame, scratch: Scratch, k: int, percent: int, heavy: int
     @bounded
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprints(*row_sets(content, offsets, k), len(offsets) - 1) for _, content, offsets in slices(batch.column(1))]
+            found = [fingerprints(*row_sets(content, offsets, k), len(offsets) - 1) for _, content, offsets in slices(batch.column(1), FEW_BYTES)]
             if found:
                 size, fp = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "n_shingles", "fp"])
@@ -396,31 +396,31 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
     classes = classes.join(final, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     best = scratch.keep(classes.groupBy("component").agg(F.min(F.struct("least", "fp")).alias("b")).select("b.fp", F.col("b.least.doc_id").alias("stay")), "best")
 
-    @bounded
-    def with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprints(*row_sets(content, offsets, k), len(offsets) - 1)[1] for _, content, offsets in slices(batch.column("text"))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("text"), batch.column("row")], names=["fp", "text", "row"])
-
-    whole = docs.select(F.col(text_col).alias("text"), whole_row(docs, text_col).alias("row"))
-    printed = whole.mapInArrow(with_print, T.StructType([T.StructField("fp", T.LongType()), *whole.schema.fields]))
     # rows whose class and id are surely none of those that go stay where they are; the others meet the exact list
-    name = F.xxhash64("fp", "doc_id")
+    name = F.col("fp").bitwiseXOR(F.xxhash64("doc_id"))
     goes = rows.where("n_shingles > 0").join(best.withColumnRenamed("fp", "bfp"), (F.col("fp") == F.col("bfp")) & F.col("doc_id").eqNullSafe(F.col("stay")), "left")
     repeats = rows.where("n_shingles > 0").groupBy("fp", "doc_id").count().where("count > 1").select(name.alias("k"))
     goes = scratch.keep(goes.where("bfp is null").select(name.alias("k")).unionByName(repeats), "goes")
     bits = docs.sparkSession.sparkContext.broadcast(key_bits(goes))
+    whole = docs.select(F.col(text_col).alias("text"), whole_row(docs, text_col).alias("row"), F.xxhash64(id_col).alias("h"))
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe_in(bits.value, batch.column(0).to_numpy()))], names=["k", "fp", "text", "row", "doubt"])
+    def marked(doubt: bool) -> DataFrame:
+        """The rows that meet the exact list, or the others, with their classes: one worker a task finds both."""
+
+        @bounded
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, BATCH_ROWS):
+                    some = batch.slice(first, BATCH_ROWS)
+                    fp = np.concatenate([fingerprints(*row_sets(content, offsets, k), len(offsets) - 1)[1] for _, content, offsets in slices(some.column(0), FEW_BYTES)]).view(np.int64)
+                    found = (fp != 0) & maybe_in(bits.value, fp ^ some.column(2).to_numpy())
+                    at = pa.array(np.flatnonzero(found if doubt else ~found))
+                    yield pa.RecordBatch.from_arrays([pa.array(fp).take(at), some.column(0).take(at), some.column(1).take(at)], names=["fp", "text", "row"])
+
+        return whole.mapInArrow(run, T.StructType([T.StructField("fp", T.LongType()), *whole.schema.fields[:2]]))
 
-    mine = printed.where("fp <> 0").select(F.xxhash64("fp", carried(docs, id_col)).alias("k"), "fp", "text", "row")
-    mine = mine.mapInArrow(marked, T.StructType([*mine.schema.fields, T.StructField("doubt", T.BooleanType())]))
-    sure = mine.where("not doubt").select("fp", "text", "row")
     # the id is a key of the join as well, so a large class of copies is dealt over all tasks
-    open_rows = mine.where("doubt").withColumn("id", carried(docs, id_col)).alias("m")
+    open_rows = marked(True).withColumn("id", carried(docs, id_col)).alias("m")
     kept = open_rows.join(best.alias("b"), (F.col("m.fp") == F.col("b.fp")) & F.col("m.id").eqNullSafe(F.col("b.stay"))).select("m.fp", "text", "row").dropDuplicates(["fp"])
-    kept = sure.unionByName(kept).unionByName(printed.where("fp = 0"))
+    kept = marked(False).select("fp", "text", "row").unionByName(kept)
     return kept.select(*restored(docs, **{text_col: F.col("text")}))

@@ -40,12 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import _STEP, LOWER, NOT_SPACE, U64, bounded, mix, packed, slices, span_hashes, unpacked, words
+from .arrays import _STEP, FEW_BYTES, LOWER, NOT_SPACE, U64, bounded, mix, packed, slices, span_hashes, unpacked, words
 from .components import connected
 from .decontamination import grams
 from .jaccard_join import _pack, _unpack
 from .prefilter import key_bits, maybe_in
-from .storage import Scratch, carried, restored, whole_row
+from .storage import BATCH_ROWS, Scratch, carried, restored, whole_row
 
 GRAM = 5
 #: A passage of fewer words is not one.  Passages of over 50 words are looked for; a word or two at their ends may have changed.
@@ -133,7 +133,7 @@ def links(named: DataFrame, parts: int, size: int, radius: int, bands: int) -> D
 
         for batch in batches:
             fps = batch.column(0).to_numpy().view(U64)
-            for first, content, offsets in slices(batch.column(1)):
+            for first, content, offsets in slices(batch.column(1), FEW_BYTES):
                 own = fps[first : first + len(offsets) - 1]
                 fresh = np.zeros(len(own), bool)
                 for i, x in enumerate(own.tolist()):
@@ -145,7 +145,7 @@ def links(named: DataFrame, parts: int, size: int, radius: int, bands: int) -> D
                 at = at[fresh[rows[at]]] if len(at) else at
                 found, _ = keys(hashes, at, size, bands)
                 have.append((found.ravel(), np.repeat(own[rows[at]] if len(at) else own[:0], bands + 1)))
-                if sum(len(k) for k, _ in have) > 1_000_000:
+                if sum(len(k) for k, _ in have) > 500_000:
                     yield from flush()
         if have:
             yield from flush()
@@ -290,7 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, settings: tup
         for batch in batches:
             y, other, fp = (batch.column(i).to_numpy() for i in (0, 2, 3))
             out: list[tuple] = []
-            for row0, content, offsets in slices(unpacked(batch.column(4))):
+            for row0, content, offsets in slices(unpacked(batch.column(4)), FEW_BYTES):
                 hashes, rows, _, _ = _word_hashes(content, offsets)
                 bound = np.searchsorted(rows, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
@@ -416,19 +416,26 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     known = scratch.keep(copies.join(cuts, "fp", "full"), "known")  # one join of the texts
     bits = docs.sparkSession.sparkContext.broadcast(key_bits(known.select("fp")))
 
-    @bounded
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe_in(bits.value, batch.column(0).to_numpy()))], names=["fp", "row", "text", "doubt"])
+    def marked(doubt: bool) -> DataFrame:
+        """The texts that may be on the exact list, or the others."""
+
+        @bounded
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, BATCH_ROWS):
+                    some = batch.slice(first, BATCH_ROWS)
+                    yield some.filter(pa.array(maybe_in(bits.value, some.column(0).to_numpy()) == doubt))
+
+        return full.mapInArrow(run, full.schema)
 
     # texts that surely lose nothing stay where they are; the others meet the exact list
-    full = full.mapInArrow(marked, T.StructType([*full.schema.fields, T.StructField("doubt", T.BooleanType())]))
-    open_rows = full.where("doubt").withColumn("own", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    open_rows = marked(True).withColumn("own", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     joined = open_rows.join(known, "fp", "left").withColumn("first", F.get(F.filter("firsts", lambda f: f["check"] == F.col("own")), F.lit(0)))
     single = joined.where("first is null").select("row", "text", "cuts")
     # one row of each group of copies stays, also of those with equal ids
     stay = joined.where(F.col("first").isNotNull() & carried(docs, id_col).eqNullSafe(F.col("first.first_id"))).dropDuplicates(["own"])
-    joined = single.unionByName(stay.select("row", "text", "cuts"))
+    # sent on, or a task would hold the worker that marks and the one that cuts at once
+    joined = single.unionByName(stay.select("row", "text", "cuts")).hint("rebalance")
 
     @bounded
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,5 +461,5 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(left, pa.int64())], names=["row", "text", "left"])
 
     done = joined.mapInArrow(cut, T.StructType([*joined.schema.fields[:2], T.StructField("left", T.LongType())])).where((F.col("left") < 0) | (F.col("left") >= least_left))
-    whole = full.where("not doubt").select("row", "text")
+    whole = marked(False).select("row", "text")
     return done.select("row", "text").unionByName(whole).select(*restored(docs, **{text_col: F.col("text")}))
