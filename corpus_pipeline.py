@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.llm import decontamination, jaccard_join, language, packing, passages
-from clausemill.llm.storage import Scratch
+from clausemill.llm.storage import Scratch, collect_garbage, small_batches
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -15,6 +18,19 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that starts without the garbage of the one before in the executors, and sends texts in small batches: the session keeps that setting, for the result is written after the stage returns."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_lean
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters, and those in which no language has three tenths of the words; mixed ones stay."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -22,21 +38,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.accepted(docs, model, least_score=0.3)
 
 
+@_lean
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group whose word 5-gram sets are at least 80 % alike."""
     return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 
+@_lean
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that another document keeps."""
     return _counted(passages.remove(docs))
 
 
+@_lean
 def drop_benchmark_hits(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes benchmark windows from texts, and documents that are mostly made of them."""
     return _counted(decontamination.remove_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+@_lean
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token pieces of all texts into sequences of 2048."""
     return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048, end_id=0, words_kept=400_000, between_tasks=False)

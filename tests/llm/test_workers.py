@@ -43,3 +43,17 @@ def test_written_tables_send_texts_in_small_batches(spark):
     found = Scratch(spark).keep(rows.mapInArrow(sizes, "n long"), "sizes").agg(F.max("n"), F.sum("n")).first()
     assert tuple(found) == (BATCH_ROWS, 3 * BATCH_ROWS + 5)
     assert spark.conf.get(BATCH, None) == before
+
+
+@pytest.mark.parametrize(("own", "held"), [(None, str(BATCH_ROWS)), ("0", str(BATCH_ROWS)), ("500", "500")])
+def test_results_of_stages_go_in_small_batches(spark, sf_dir, own, held):
+    import corpus_pipeline
+
+    before = spark.conf.get(BATCH, None)
+    try:
+        spark.conf.set(BATCH, own) if own else spark.conf.unset(BATCH)
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5)
+        assert corpus_pipeline.drop_benchmark_hits(spark, docs, sf_dir).columns == docs.columns
+        assert spark.conf.get(BATCH) == held
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
