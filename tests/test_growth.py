@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.operators import guard
+from clausemill.operators import guard, rules
 from clausemill.plans import queries as policy
 from clausemill.plans import relational  # noqa: F401
 
@@ -55,3 +55,38 @@ def test_verdicts_by_class_equal_those_of_all_pairs(spark):
         same(every.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("violated").alias("bad")), by.by_rule())
         same(guard.controlling(every, "conv", "turn"), by.controlling("conv", "turn"))
         same(guard.first_fail(every, "conv", "turn").groupBy("conv", "turn").agg(F.count("*").alias("applied")), by.applied("conv", "turn"))
+
+
+def test_conflicts_of_a_hot_key_are_those_of_all_pairs(spark):
+    """Against plain loops: rules that state a key twice, in both polarities or with several scopes, ids that come twice, null ids and null slots."""
+    import random
+
+    draw = random.Random(5)
+    texts = ["Users must log", "Users must not log", "users MUST not log!", "users must-not log", "Users may not log", "Keep it", None, ""]
+    slots = [[], ["a"], ["b"], ["a", "b"], None]
+    kind = "seq long, rule_id string, scope struct<actor: array<string>, data_domain: array<string>, context: array<string>>, requirements array<string>"
+    given = [(n if draw.random() < 0.97 else None, draw.choice([f"r{n}", f"r{n % 9}", None]) if n % 3 else f"r{n}", tuple(draw.choice(slots) for _ in range(3)), [draw.choice(texts) for _ in range(draw.randint(0, 3))]) for n in range(90)]
+    frame = spark.createDataFrame(given, kind)
+
+    def plain(useful):
+        rows = [(n, r, scope, t, any(w in t.lower() for w in relational.P.NEGATIVE)) for n, r, scope, ts in given for t in ts if t and n is not None]
+
+        def key(t):
+            k = " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+            return " ".join(w for w in k.replace("must not", "").replace("may not", "").split() if w not in ("must", "may")) if useful else k
+
+        def overlap(x, y):
+            return all(a is not None and b is not None and (not a or not b or set(a) & set(b)) or a == [] or b == [] for a, b in zip(x, y, strict=True))
+
+        return {(a[1], b[1], key(a[3])) for a in rows for b in rows if a[0] < b[0] and a[4] != b[4] and key(a[3]) == key(b[3]) and (not useful or overlap(a[2], b[2]))}
+
+    for useful in (False, True):
+        for tile in (3, 4096):
+            got = [tuple(r) for r in rules.conflicts(frame, useful=useful, tile=tile).collect()]
+            assert len(got) == len(set(got)) and set(got) == plain(useful)
+
+
+def test_a_hot_key_is_spread_over_many_tasks(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("seq"), F.concat(F.lit("r"), "id").alias("rule_id"), F.array(F.when(F.col("id") % 2 == 0, "Users must-not ship").otherwise("Users must not ship")).alias("requirements"), F.lit(0).alias("scope"))
+    tasks = [r["count"] for r in rules.conflicts(rows, tile=1000).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(tasks) == 10_000 * 10_000 and max(tasks) < sum(tasks) / 4
