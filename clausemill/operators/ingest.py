@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions.text import chunked, sentences, sha8, slug, strip
@@ -13,17 +17,26 @@ def toc_paths(toc: DataFrame) -> DataFrame:
     """doc_id, page, path: each entry's titles from level 1 down; of entries on one page the last.
 
     The path of an entry is, for each level up to its own, the last title of
-    that level since a title of a higher one: a stack, for any number of levels.
+    that level since a title of a higher one: a stack, for any number of
+    levels.  A document's entries pass in order and only the stack is held.
     """
-    entries = toc.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "page", "level", "title"))).alias("e"))
-    walked = F.expr("""aggregate(e,
-        named_struct('open', cast(array() as array<struct<level: int, title: string>>), 'out', cast(array() as array<struct<seq: bigint, page: int, path: array<string>>>)),
-        (a, x) -> named_struct(
-            'open', array_append(filter(a.open, s -> s.level < x.level), named_struct('level', cast(x.level as int), 'title', x.title)),
-            'out', array_append(a.out, named_struct('seq', cast(x.seq as bigint), 'page', cast(x.page as int),
-                'path', array_append(transform(filter(a.open, s -> s.level < x.level), s -> s.title), x.title)))),
-        a -> a.out)""")
-    rows = entries.select("doc_id", F.explode(walked).alias("r")).select("doc_id", "r.*")
+    order = ("seq", "page", "level", "title")
+    given = toc.select("doc_id", F.col("seq").cast("long"), F.col("page").cast("int"), F.col("level").cast("int"), "title")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, open_ = None, []
+        for batch in batches:
+            docs, levels, titles = (batch.column(c).to_pylist() for c in ("doc_id", "level", "title"))
+            paths = []
+            for doc, level, title in zip(docs, levels, titles, strict=True):
+                if doc != of:
+                    of, open_ = doc, []
+                open_ = [x for x in open_ if x[0] is not None and level is not None and x[0] < level]
+                open_.append((level, title))
+                paths.append([x[1] for x in open_])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), batch.column("page"), pa.array(paths, pa.list_(pa.string()))], ["doc_id", "seq", "page", "path"])
+
+    rows = given.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(walk, StructType([given.schema[c] for c in ("doc_id", "seq", "page")] + [StructField("path", ArrayType(StringType()))]))
     return rows.groupBy("doc_id", "page").agg(F.max_by("path", "seq").alias("path"))
 
 

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.operators import guard, rules
+from clausemill.operators import guard, ingest, rules
 from clausemill.plans import queries as policy
 from clausemill.plans import relational  # noqa: F401
 
@@ -90,3 +90,19 @@ def test_a_hot_key_is_spread_over_many_tasks(spark):
     rows = spark.range(20_000).select(F.col("id").alias("seq"), F.concat(F.lit("r"), "id").alias("rule_id"), F.array(F.when(F.col("id") % 2 == 0, "Users must-not ship").otherwise("Users must not ship")).alias("requirements"), F.lit(0).alias("scope"))
     tasks = [r["count"] for r in rules.conflicts(rows, tile=1000).groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(tasks) == 10_000 * 10_000 and max(tasks) < sum(tasks) / 4
+
+
+def test_contents_of_a_long_document(spark):
+    """40,000 entries of one document, whose paths a fold over growing lists would copy 40,000 times."""
+    began = time.monotonic()
+    toc = spark.range(40_000).select(F.lit("d").alias("doc_id"), F.col("id").alias("seq"), F.col("id").cast("int").alias("page"), (F.col("id") % 7 + 1).cast("int").alias("level"), F.concat(F.lit("t"), "id").alias("title"))
+    got = {r["page"]: r["path"] for r in ingest.toc_paths(toc).collect()}
+    assert got == {n: [f"t{m}" for m in range(n - n % 7, n + 1)] for n in range(40_000)}
+    assert time.monotonic() - began < 60
+
+
+def test_contents_with_nulls_and_many_documents(spark):
+    rows = [(doc, n, n % 4, [1, 2, None, 2, 5, 3, 1, 1][n], f"{doc}{n}" if n != 4 else None) for doc in ("a", "b", None) for n in range(8)]
+    toc = spark.createDataFrame(rows, "doc_id string, seq long, page int, level int, title string").repartition(3)
+    got = {(r["doc_id"], r["page"]): r["path"] for r in ingest.toc_paths(toc).collect()}
+    assert got == {(d, p): w for d in ("a", "b", None) for p, w in {0: [f"{d}3", None], 1: [f"{d}3", f"{d}5"], 2: [f"{d}6"], 3: [f"{d}7"]}.items()}
