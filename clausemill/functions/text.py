@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂ
 _SPACE = r"[ \t\n\x0B\f\r]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once; by itself Spark computes an expression at each place that names it, in a lambda for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -37,8 +44,12 @@ def sentences(text: Column) -> Column:
 
 def chunked(values: Column, n: int) -> Column:
     """Runs of n elements; the last may be shorter."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(n))
-    return F.when(F.size(values) > 0, F.transform(starts, lambda i: F.slice(values, i, n))).otherwise(F.array())
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(n))
+        return F.when(F.size(v) > 0, F.transform(starts, lambda i: F.slice(v, i, n))).otherwise(F.array())
+
+    return once(values, cut)
 
 
 def sha8(text: Column) -> Column:
@@ -95,12 +106,15 @@ def canonical(value: Column, slot: str, vocabulary: dict | None = None) -> Colum
     """The token of a scope slot that a phrase stands for, or null."""
     synonyms = {s: token for token, words in (vocabulary or SYNONYMS)[slot].items() for s in words}
     tokens = {t: t for t in ENUMS[slot]}
-    known, word = norm_token(strip(or_empty(value))), None
-    word = singular(known)
-    upper = F.when(F.upper(known).isin(*[t for t in tokens if t in ("PHI", "PII")] or [""]), F.upper(known))
-    keyword = F.coalesce(*[F.when(known.contains(k), F.lit(t)) for k, t in KEYWORDS[slot]])
-    # an enum hit only where no synonym is known, as synonyms may lead elsewhere
-    return F.when(strip(or_empty(value)) != "", F.coalesce(_lookup(synonyms, known), upper, _lookup(tokens, known), _lookup(synonyms, word), _lookup(tokens, word), keyword))
+
+    def token(known: Column) -> Column:
+        upper = F.when(F.upper(known).isin(*[t for t in tokens if t in ("PHI", "PII")] or [""]), F.upper(known))
+        keyword = F.coalesce(*[F.when(known.contains(k), F.lit(t)) for k, t in KEYWORDS[slot]])
+        by_word = once(singular(known), lambda word: F.coalesce(_lookup(synonyms, word), _lookup(tokens, word)))
+        # an enum hit only where no synonym is known, as synonyms may lead elsewhere
+        return F.coalesce(_lookup(synonyms, known), upper, _lookup(tokens, known), by_word, keyword)
+
+    return once(strip(or_empty(value)), lambda v: F.when(v != "", once(norm_token(v), token)))
 
 
 def canonical_list(values: Column, slot: str) -> Column:

@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from clausemill.functions import text as T
 from clausemill.operators import guard, ingest, rules
 from clausemill.plans import queries as policy
 from clausemill.plans import relational  # noqa: F401
@@ -106,3 +107,27 @@ def test_contents_with_nulls_and_many_documents(spark):
     toc = spark.createDataFrame(rows, "doc_id string, seq long, page int, level int, title string").repartition(3)
     got = {(r["doc_id"], r["page"]): r["path"] for r in ingest.toc_paths(toc).collect()}
     assert got == {(d, p): w for d in ("a", "b", None) for p, w in {0: [f"{d}3", None], 1: [f"{d}3", f"{d}5"], 2: [f"{d}6"], 3: [f"{d}7"]}.items()}
+
+
+def test_long_lists_are_cut_in_one_pass(spark):
+    """12 texts of 60,000 words, each of which would be split anew for every run of four."""
+    began = time.monotonic()
+    texts = spark.range(12).repartition(4).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_001)), lambda i: i.cast("string")), " ").alias("text"))
+    runs = texts.select(F.explode(T.chunked(F.split("text", " "), 4)).alias("run"))
+    assert tuple(runs.agg(F.count("*"), F.sum(F.size("run")), F.sum(F.get("run", F.lit(3)).cast("long"))).first()) == (12 * 15_001, 12 * 60_001, 12 * sum(range(4, 60_001, 4)))
+    assert time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("name", ["normalize_rules", "prune_rule", "fill_defaults", "counterfactuals"])
+def test_a_small_file_of_parts_is_work_for_all_tasks(spark, sf_dir, name):
+    assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() == 1
+    assert policy.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_values_are_computed_once(spark):
+    """As often as a value is named; nulls pass through."""
+    rows = spark.createDataFrame([("  Service  Providers ",), ("",), (None,), ("PHI",), ("astronaut",)], "v string")
+    got = [tuple(r) for r in rows.select(T.canonical(F.col("v"), "actor"), T.canonical(F.col("v"), "data_domain")).collect()]
+    assert got == [("provider", None), (None, None), (None, None), (None, "PHI"), (None, None)]
+    shown = rows.select(T.canonical(F.col("v"), "actor").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("translate") <= 4
