@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import LISTS, REQUIRED, RULE_STRUCT, SEVERITIES
-from .text import or_empty, strip
+from .text import once, or_empty, strip
 
 TRAILING_ARRAY = r"(?s)\[\s*\{.*\}\s*\]\s*$"
 FIRST_ARRAY = r"(?s)\[\s*\{.*?\}\s*\]"
@@ -55,8 +55,11 @@ def as_array(value: Column) -> Column:
 
 def _listed(raw: Column, path: str) -> Column:
     """An array field; what is a scalar becomes an array, what is missing an empty one."""
-    value = F.get_json_object(raw, path)
-    return F.when(value.isNull() | (value == ""), F.array().cast("array<string>")).when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+
+    def entries(value: Column) -> Column:
+        return F.when(value.isNull() | (value == ""), F.array().cast("array<string>")).when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+
+    return once(F.get_json_object(raw, path), entries)
 
 
 def missing_fields(raw: Column) -> Column:
@@ -99,5 +102,5 @@ def pruned(raw: Column) -> Column:
         F.struct(*[F.array_distinct(rule["scope"][c]).alias(c) for c in ("actor", "data_domain", "context")]).alias("scope"),
         hazard.alias("hazard"),
         *[F.array_distinct(F.filter(F.transform(rule[c], strip), lambda x: x.isNotNull() & (x != ""))).alias(c) for c in LISTS],
-        F.when(severity.isin(*SEVERITIES), severity).when(hazard != "", "high").otherwise("medium").alias("severity"),
+        once(severity, lambda s: F.when(s.isin(*SEVERITIES), s).when(hazard != "", "high").otherwise("medium")).alias("severity"),
     )
