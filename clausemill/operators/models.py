@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonrules as J
-from ..functions.text import or_empty, repaired_token, strip
+from ..functions.text import once, or_empty, repaired_token, strip
 from ..lineage import ensure_checkpoints
 from ..providers import request
 from ..schema import ENUMS, LISTS, REPAIR_DEFAULT, REQUIRED, SEVERITIES
@@ -137,13 +137,13 @@ def mended(rules: DataFrame, provider, text: Column, *, hosts: Sequence[str] | N
     defaults, evidence filtered, and a missing hazard named.
     """
     given = {"rule": F.col("rule"), "issues": F.col("issues"), "source_text": text}
-    once = asked(rules, provider, "repair", task_prompt("repair", **given)).withColumnRenamed("raw", "first").drop("error")
+    tried = asked(rules, provider, "repair", task_prompt("repair", **given)).withColumnRenamed("raw", "first").drop("error")
     good = F.coalesce(_is_rule(F.col("first")), F.lit(False))
-    twice = asked(once.where(~good), provider, "repair:strict", task_prompt("repair", strict=True, **given)).withColumnRenamed("raw", "second").drop("error")
-    both = once.where(good).withColumn("second", F.lit(None).cast("string")).unionByName(twice)
+    twice = asked(tried.where(~good), provider, "repair:strict", task_prompt("repair", strict=True, **given)).withColumnRenamed("raw", "second").drop("error")
+    both = tried.where(good).withColumn("second", F.lit(None).cast("string")).unionByName(twice)
     answer = F.coalesce(F.when(good, F.col("first")), F.when(F.json_object_keys("second").isNotNull(), F.col("second")))
     fixed = F.coalesce(F.get_json_object(answer, "$.rule"), answer)
-    both = both.withColumn("repaired", F.when(fixed.startswith("{"), J.pruned(fixed)))
+    both = both.withColumn("repaired", once(fixed, lambda f: F.when(f.startswith("{"), J.pruned(f))))
 
     def slot(c: str) -> Column:
         found = F.filter(F.transform(F.col("repaired.scope")[c], lambda t: repaired_token(t, c)), lambda x: x.isNotNull())
