@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions.text import chunked, sentences, sha8, slug, strip
+from ..lineage import ensure_checkpoints
 
 
 def toc_paths(toc: DataFrame) -> DataFrame:
@@ -85,11 +87,31 @@ def page_text(page_lines: DataFrame) -> DataFrame:
     return page_lines.groupBy("doc_id", "page").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def in_columns(blocks: DataFrame) -> DataFrame:
-    """Adds `place`: the left column first, split at the median left edge; each from top to bottom."""
-    page = Window.partitionBy("doc_id", "page")
-    right = F.col("x0") > F.percentile("x0", F.lit(0.5)).over(page)
-    return blocks.withColumn("place", F.row_number().over(page.orderBy(right, "y0", "x0", "seq")))
+def _beside(rows: DataFrame, few: DataFrame, keys: Sequence[str], most: int = 500_000) -> DataFrame:
+    """Joined on keys in which null equals null; `few` is sent to all executors if it has at most so many rows."""
+    few = few.withColumnsRenamed({k: f"_{k}" for k in keys})
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(F.broadcast(few) if few.count() <= most else few, met).drop(*[f"_{k}" for k in keys])
+
+
+def in_columns(blocks: DataFrame, *, task_rows: int = 500_000) -> DataFrame:
+    """Adds `place`: the left column first, split at the median left edge; each from top to bottom.
+
+    Blocks are ranked among those of one column and height only, and how many
+    come before these is counted; so no task holds a page, and tasks have
+    about `task_rows` blocks, however many there are.
+    """
+    ensure_checkpoints(blocks.sparkSession)
+    page, band = ["doc_id", "page"], ["doc_id", "page", "right", "y0"]
+    middles = blocks.groupBy(*page).agg(F.percentile("x0", F.lit(0.5)).alias("middle"), F.count("*").alias("blocks")).checkpoint()
+    split = _beside(blocks, middles.drop("blocks"), page).withColumn("right", F.col("x0") > F.col("middle")).drop("middle")
+    before = F.sum("n").over(Window.partitionBy(*page).orderBy("right", "y0").rowsBetween(Window.unboundedPreceding, -1))
+    bands = split.groupBy(*band).agg(F.count("*").alias("n")).select(*band, F.coalesce(before, F.lit(0)).alias("before")).checkpoint()
+    total = middles.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_rows))
+    nth = F.row_number().over(Window.partitionBy(*band).orderBy("x0", "seq"))
+    ranked = split.repartition(parts, *band).withColumn("nth", nth)
+    return _beside(ranked, bands, band).withColumn("place", (F.col("before") + F.col("nth")).cast("int")).drop("right", "before", "nth")
 
 
 def inside_margins(blocks: DataFrame, *, top: float = 30, bottom: float = 50) -> DataFrame:
@@ -120,9 +142,18 @@ def flat_table(rows: Column) -> Column:
 
 
 def spans_from_pages(pages: DataFrame, *, group_n: int = 4) -> DataFrame:
-    """Sentence groups of each page with ids that count on through a section, from 1."""
+    """Sentence groups of each page with ids that count on through a section, from 1.
+
+    A page's number of groups tells where the next page goes on, so texts are
+    numbered page by page and no task holds a section.
+    """
+    place = F.struct("doc_id", "section_path", "page").alias("_page")
+    sizes = pages.groupBy("doc_id", "section_path", "page").agg(F.sum(F.ceil(F.size(sentences(F.col("text"))) / group_n)).alias("size"))
+    earlier = Window.partitionBy("doc_id", "section_path").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(place, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
     groups = pages.select("doc_id", "page", "section_path", F.posexplode(chunked(sentences(F.col("text")), group_n)).alias("group_no", "group"))
-    count = F.row_number().over(Window.partitionBy("doc_id", "section_path").orderBy("page", "group_no"))
+    groups = groups.withColumn("_page", place).join(starts, "_page")
+    count = (F.col("start") + F.row_number().over(Window.partitionBy("_page").orderBy("group_no"))).cast("int")
     name = F.array_join(F.transform("section_path", lambda s: slug(s)), "/")
     return groups.withColumn("nth", count).select(
         F.concat("doc_id", F.lit("/"), name, F.format_string("/sent_%04d", "nth")).alias("span_id"), "doc_id", F.lit("sentence").alias("kind"),

@@ -131,3 +131,42 @@ def test_values_are_computed_once(spark):
     assert got == [("provider", None), (None, None), (None, None), (None, "PHI"), (None, None)]
     shown = rows.select(T.canonical(F.col("v"), "actor").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("translate") <= 4
+
+
+def test_columns_of_pages_with_nulls_and_equal_edges(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(n, draw.choice(["a", "b", None]), draw.choice([0, 1, None]), draw.choice([1.0, 2.0, 3.0, None]), draw.choice([5.0, 6.0, None])) for n in range(200)]
+    got = {r["seq"]: r["place"] for r in ingest.in_columns(spark.createDataFrame(rows, "seq long, doc_id string, page int, x0 double, y0 double"), task_rows=10).collect()}
+    low = lambda x: (x is not None, x)  # noqa: E731  nulls first
+    for doc, page in {(r[1], r[2]) for r in rows}:
+        own = [r for r in rows if r[1:3] == (doc, page)]
+        edges = sorted(r[3] for r in own if r[3] is not None)
+        middle = (edges[(len(edges) - 1) // 2] + edges[len(edges) // 2]) / 2
+        order = sorted(own, key=lambda r: (low(None if r[3] is None else r[3] > middle), low(r[4]), low(r[3]), r[0]))
+        assert [got[r[0]] for r in order] == list(range(1, len(own) + 1))
+
+
+def test_a_large_page_is_ranked_by_many_tasks(spark):
+    rows = spark.range(40_000).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page"), F.col("id").alias("seq"), (F.col("id") % 40).cast("double").alias("x0"), (F.col("id") % 900).cast("double").alias("y0"))
+    tasks = [r["count"] for r in ingest.in_columns(rows, task_rows=2000).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(tasks) == 40_000 and max(tasks) < 8000
+
+
+def test_pages_are_numbered_on_through_a_section(spark):
+    """Pages that come twice count their groups in turn; the query shows four digits, the operator all."""
+    rows = [("d", p, ["Body"], f"One {n}. Two. Three.") for n, p in enumerate([0, 2, 1, 2])] + [("d", 3, ["Body"], "A. " * 10_000), ("d", 3, ["Other"], "B."), ("d", 4, ["Body"], None)]
+    pages = spark.createDataFrame(rows, "doc_id string, page int, section_path array<string>, text string")
+    got = sorted((r["page"], int(r["span_id"].rpartition("_")[2])) for r in ingest.spans_from_pages(pages, group_n=2).where("section = 'Body'").collect())
+    assert got == [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5), (2, 6), (2, 7), (2, 8)] + [(3, 9 + n) for n in range(5000)]
+
+
+def test_page_spans_match_their_sql_beyond_four_digits(spark, tmp_path):
+    import duckdb
+
+    spark.range(11).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("Go on. "), 4000).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.execute(f"SELECT span_id, page, h, group_size FROM ({policy.ORACLE_SQL['page_spans']})").fetchall()
+    assert len(want) == 11_000 and sorted(want) == sorted(tuple(r) for r in policy.QUERIES["page_spans"](spark, str(tmp_path)).collect())
