@@ -91,8 +91,9 @@ def deduplicated(extracted: DataFrame, *, strict: bool = False, embed=None, thre
 
 def run(spark: SparkSession, spans: DataFrame, provider, *, mine: bool = True, strict: bool = False, target_n: int = 5, keep_informative: bool = False, include_tables: bool = False, ctx_window: int = 2, embed=None, threshold: float = 0.85, doc_block: bool = True, preview: int = 0) -> dict[str, DataFrame]:
     """All stages; the result names each stage's frame.  With `embed` dedup is semantic as well."""
-    found = mining.candidates(spans, keep_informative=keep_informative, include_tables=include_tables, ctx_window=ctx_window) if mine else mining.passthrough(spans)
     ensure_checkpoints(spark)
+    found = mining.candidates(spans, keep_informative=keep_informative, include_tables=include_tables, ctx_window=ctx_window) if mine else mining.passthrough(spans)
+    found = found.checkpoint()
     extracted = extract(found, provider).checkpoint()
     clean = deduplicated(extracted, strict=strict, embed=embed, threshold=threshold, doc_block=doc_block, preview=preview)
     tagged = tag(clean["cleaned"], provider).checkpoint()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
-from clausemill.operators import guard, ingest, rules
+from clausemill.operators import guard, ingest, mining, rules
 from clausemill.plans import queries as policy
 from clausemill.plans import relational  # noqa: F401
 
@@ -170,3 +170,12 @@ def test_page_spans_match_their_sql_beyond_four_digits(spark, tmp_path):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = duck.execute(f"SELECT span_id, page, h, group_size FROM ({policy.ORACLE_SQL['page_spans']})").fetchall()
     assert len(want) == 11_000 and sorted(want) == sorted(tuple(r) for r in policy.QUERIES["page_spans"](spark, str(tmp_path)).collect())
+
+
+def test_texts_do_not_pass_through_the_windows_of_a_bucket(spark, tmp_path):
+    """Candidates of one bucket with texts of 2000 letters are told apart, and find their texts and contexts, without a sort of the texts."""
+    texts = spark.range(6000).select(F.col("id").alias("seq"), F.concat(F.lit("d/s"), "id").alias("span_id"), F.lit("d").alias("doc_id"), F.lit("sentence").alias("kind"), F.array(F.lit("Part")).alias("section_path"), F.lit(0).alias("page"), F.lit(0).alias("sent_index"), F.concat(F.lit("Users must log "), (F.col("id") % 50).cast("string"), F.lit("."), F.repeat(F.lit("x"), 2000)).alias("text"))
+    found = mining.candidates(texts)
+    got = {r["seq"]: ([x[15:17] for x in r["context_prev"]], r["text"][15:17], [x[15:17] for x in r["context_next"]]) for r in found.collect()}
+    assert {k: v for k, v in got.items() if 2 <= k < 47} == {n: ([f"{n - 2}."[:2], f"{n - 1}."[:2]], f"{n}."[:2], [f"{n + 1}."[:2], f"{n + 2}."[:2]]) for n in range(2, 47)}
+    assert len(got) == 50 and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
