@@ -1,5 +1,6 @@
 """Larger tables and hot groups, for which the work must not grow faster than what goes in and comes out."""
 
+import re
 import time
 
 import pytest
@@ -179,3 +180,13 @@ def test_texts_do_not_pass_through_the_windows_of_a_bucket(spark, tmp_path):
     got = {r["seq"]: ([x[15:17] for x in r["context_prev"]], r["text"][15:17], [x[15:17] for x in r["context_next"]]) for r in found.collect()}
     assert {k: v for k, v in got.items() if 2 <= k < 47} == {n: ([f"{n - 2}."[:2], f"{n - 1}."[:2]], f"{n}."[:2], [f"{n + 1}."[:2], f"{n + 2}."[:2]]) for n in range(2, 47)}
     assert len(got) == 50 and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_answer_is_looked_for_once_in_mending(spark, sf_dir):
+    """Not once for each field that is read from it."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = policy.QUERIES["mended_rules"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 1 <= len(re.findall(r"\$\.rule\b(?!_)", plan)) <= 2
